@@ -83,7 +83,7 @@ def _word_runs(mask: Column) -> Column:
 
     def edges(side: Column) -> Column:
         edge = mask.bitwiseAND(F.lit(FULL).cast("long").bitwiseXOR(side))
-        return F.filter(bits, lambda i: F.get_bit(edge, i) == 1)
+        return F.filter(bits, lambda i: F.getbit(edge, i) == 1)
 
     starts = edges(F.shiftleft(mask, 1).bitwiseAND(FULL))
     ends = edges(F.shiftright(mask, 1))

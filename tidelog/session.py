@@ -38,7 +38,10 @@ def work_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and keep the rows in the shared folder, so later uses
     neither repeat the work nor depend on executors staying alive."""
-    shared_dir(df.sparkSession)
+    spark = df.sparkSession
+    folder = shared_dir(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
