@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ALL_CONTINUE = 0x8080808080808080
-
 
 def _long(pattern: int) -> str:
     """An unsigned 64-bit pattern as SQL long literal."""
@@ -33,36 +31,37 @@ def varint_size(value: Column) -> Column:
     return F.floor((F.length(F.bin(value)) + 6) / 7).cast("long")
 
 
+def _packed(parts: list[tuple[int, int]], mask: int, v: str, extra: int = 0) -> str:
+    """SQL of a long made of groups of ``v``: ``(from bit, to bit)`` of each."""
+    terms = [] if not extra else [_long(extra)]
+    for source, target in parts:
+        group = f"({v} & {mask}L)" if not source else f"(shiftrightunsigned({v}, {source}) & {mask}L)"
+        terms.append(group if not target else f"shiftleft({group}, {target})")
+    return " | ".join(terms)
+
+
 def fixed_hex(v: str, size: int) -> str:
-    """SQL of the low ``size`` bytes of a long, lowest first: reversing the hex text
-    reverses the bytes once the two digits of each byte have been swapped."""
-    low = _long(0x0F0F0F0F0F0F0F0F)
-    swapped = f"shiftleft({v} & {low}, 4) | (shiftrightunsigned({v}, 4) & {low})"
-    return f"substring(reverse(lpad(hex({swapped}), 16, '0')), 1, {2 * size})"
+    """SQL of the low ``size`` bytes of a long, lowest first."""
+    swapped = _packed([(8 * i, 8 * (size - 1 - i)) for i in range(size)], 255, v)
+    return f"lpad(hex({swapped}), {2 * size}, '0')"
 
 
 def varint_hex(v: str) -> str:
-    """SQL of the base-128 bytes of a long's 64-bit pattern, lowest group first."""
-    # open a gap after each 28, then 14, then 7 bits: one group per byte
-    spread = f"({v} & {_long((1 << 56) - 1)})"
-    for width, lanes in ((28, 1), (14, 2), (7, 4)):
-        group = sum(((1 << width) - 1) << (64 // lanes * lane) for lane in range(lanes))
-        gap = 32 // lanes - width
-        spread = f"(shiftleft({spread} & {_long(group << width)}, {gap}) | ({spread} & {_long(group)}))"
-    steps = " ".join(
-        f"WHEN {v} < {1 << (7 * n)}L THEN {_long(ALL_CONTINUE & ((1 << (8 * (n - 1))) - 1))}"
-        for n in range(1, 9)
-    )
-    more = f"CASE WHEN {v} < 0 THEN {_long(ALL_CONTINUE)} {steps} ELSE {_long(ALL_CONTINUE)} END"
-    body = fixed_hex(f"({spread} | ({more}))", 8)
-    size = f"CAST((length(bin({v})) + 6) DIV 7 AS INT)"
+    """SQL of the base-128 bytes of a long's 64-bit pattern, lowest group first. All
+    bytes but the last have their top bit set, so the hex text needs no padding."""
+
+    def groups(n: int, more: int) -> str:
+        parts = [(7 * i, 8 * (n - 1 - i)) for i in range(n)]
+        top = sum(0x80 << (8 * (n - 1 - i)) for i in range(more))
+        return f"hex({_packed(parts, 127, v, top)})"
+
+    cases = [f"WHEN {v} < {1 << (7 * n)}L THEN {groups(n, n - 1)}" for n in range(2, 9)]
     high = f"hex(shiftrightunsigned({v}, 56))"
-    tail = (
-        f"CASE WHEN {v} < 0 THEN concat({high}, '01') WHEN {v} < {1 << 56}L THEN '' "
-        f"ELSE lpad({high}, 2, '0') END"
+    return (
+        f"CASE WHEN {v} < 0 THEN concat({groups(8, 8)}, {high}, '01') "
+        f"WHEN {v} < 128 THEN lpad(hex({v}), 2, '0') {' '.join(cases)} "
+        f"ELSE concat({groups(8, 8)}, lpad({high}, 2, '0')) END"
     )
-    wide = f"concat(substring({body}, 1, 2 * least({size}, 8)), {tail})"
-    return f"CASE WHEN {v} >= 0 AND {v} < 128 THEN lpad(hex({v}), 2, '0') ELSE {wide} END"
 
 
 def zigzag(value: Column) -> Column:

@@ -68,10 +68,6 @@ class Stages:
         self.levels[level][name] = value
         return name
 
-    def hex_of(self, level: int, value: Column, sql: Callable[[str], str]) -> Column:
-        """Hex text that ``sql`` forms of a number."""
-        return F.expr(sql(self.bind(level, value)))
-
     def hold(self, level: int, value: Column) -> Column:
         return F.col(self.bind(level, value))
 
@@ -81,96 +77,150 @@ class Stages:
         return df.withColumn(out, value).drop(*[n for columns in self.levels for n in columns])
 
 
-class Inline:
-    """The same inside lambdas, where values cannot become columns."""
-
-    def hex_of(self, level: int, value: Column, sql: Callable[[str], str]) -> Column:
-        return let(value, sql("v"))
-
-    def hold(self, level: int, value: Column) -> Column:
-        return value
-
-
-INLINE = Inline()
-
-
 def _height(message: Message) -> int:
     """Levels of messages below this one."""
     below = [_height(f.kind) + 1 for f in message.fields if f.is_message and f.is_single]
     return max(below, default=0)
 
 
-def _number_sql(wire: int) -> Callable[[str], str]:
+def _number_sql(wire: int, v: str) -> str:
     if wire == VARINT:
-        return varint_hex
-    return lambda v: fixed_hex(v, 4 if wire == FIXED32 else 8)
+        return varint_hex(v)
+    return fixed_hex(v, 4 if wire == FIXED32 else 8)
 
 
-def _content(field: Field, value: Column, names) -> Column:
-    """Content of one length-delimited value as bytes."""
-    if field.is_message:
-        inner = message_bytes(field.kind, value.getField, names)
-        return F.when(value.isNull(), F.lit(EMPTY)).otherwise(inner)
-    encoded = F.encode(value, "UTF-8") if field.scalar == "string" else value
-    return F.coalesce(encoded, F.lit(EMPTY))
+# Values of arrays: hex text. Each step is one flat pass over an array and names its
+# input once: lambdas are interpreted, and what is named twice is computed twice.
+
 
+def _delimit(texts: Column, tag: str) -> Column:
+    """Tag, length and content for an array of hex contents; null gives no text."""
+    length = varint_hex("(octet_length(v) DIV 2)")
+    return each(texts, f"coalesce(concat('{tag}', {length}, v), '')")
 
-def _delimited_sql(v: str) -> str:
-    """Length and content of a binary as hex text."""
-    length = varint_hex("n")
-    return f"concat(transform(array(CAST(octet_length({v}) AS BIGINT)), n -> {length})[0], hex({v}))"
 
+def _numbers(field: Field, patterns: Column, tag: str) -> Column:
+    """Tag and number for an array of longs; null gives no text."""
+    return each(patterns, f"coalesce(concat('{tag}', {_number_sql(field.wire, 'v')}), '')")
 
-def _values_hex(field: Field, values: Column) -> Column:
-    """The values of an array without their tags, as hex texts; null reads as zero."""
+
+def _pattern(field: Field, value: Column) -> Column:
+    return wire_long(F.coalesce(value, zero_literal(field)), field.scalar)
+
+
+def _values_hex(field: Field, values: Column, tag: str) -> Column:
+    """The values of a list, each after ``tag``; null reads as zero."""
+    if field.is_message:
+        return _delimit(_messages_hex(field.kind, values), tag)
     if field.wire == BYTES:
-        contents = F.transform(values, lambda v: _content(field, v, INLINE))
-        return each(contents, _delimited_sql("v"))
+        return _delimit(F.transform(values, lambda v: F.coalesce(F.hex(v), F.lit(""))), tag)
     zero = F.lit(0).cast(field.value_type())
     patterns = F.transform(values, lambda v: wire_long(F.coalesce(v, zero), field.scalar))
-    return each(patterns, _number_sql(field.wire)("v"))
+    return _numbers(field, patterns, tag)
 
 
 def entries_by_key(value: Column) -> Column:
     """The entries of a map, sorted by key."""
-    return F.call_function(
+    by_key = F.call_function(
         "array_sort",
         F.map_entries(value),
         F.expr("(a, b) -> CASE WHEN a.key < b.key THEN -1 WHEN a.key > b.key THEN 1 ELSE 0 END"),
     )
+    return F.when(F.size(value) > 1, by_key).otherwise(F.map_entries(value))
 
 
-def _field_bytes(field: Field, value: Column, names) -> Column:
-    tag = tag_hex(field.number, field.wire)
-    block = tag_hex(field.number, BYTES)
+def _many_hex(field: Field, value: Column) -> Column:
+    """A list or map with its tags, as one text."""
+    block, tag = tag_hex(field.number, BYTES), tag_hex(field.number, field.wire)
     if field.map_key is not None:
-        entry = field.entry()
-        contents = F.transform(
-            entries_by_key(value), lambda e: message_bytes(entry, e.getField, INLINE)
+        entries = _messages_hex(field.entry(), entries_by_key(value), always=True)
+        return F.array_join(_delimit(entries, block), "")
+    if field.packable:
+        content = F.array(F.array_join(_values_hex(field, value, ""), ""))
+        alone = F.array_join(_values_hex(field, value, tag), "")
+        return F.when(F.size(value) > 1, F.get(_delimit(content, block), F.lit(0))).otherwise(alone)
+    return F.array_join(_values_hex(field, value, tag), "")
+
+
+def _single_hex(field: Field, values: Column) -> Column:
+    """A single field of an array of structs, one text each."""
+    tag = tag_hex(field.number, field.wire)
+
+    def given(x: Column) -> Column:
+        return x.getField(field.name)
+
+    if field.is_message:
+        inner = _messages_hex(field.kind, F.transform(values, given))
+        texts = F.zip_with(values, inner, lambda x, text: F.when(is_written(field, given(x)), text))
+        return _delimit(texts, tag)
+    if field.wire == BYTES:
+        texts = F.transform(
+            values, lambda x: F.when(is_written(field, given(x)), F.coalesce(F.hex(given(x)), F.lit("")))
         )
-        return F.unhex(F.array_join(each(contents, f"concat('{block}', {_delimited_sql('v')})"), ""))
+        return _delimit(texts, tag)
+    patterns = F.transform(values, lambda x: F.when(is_written(field, given(x)), _pattern(field, given(x))))
+    return _numbers(field, patterns, tag)
+
+
+def _messages_hex(message: Message, values: Column, always: bool = False) -> Column:
+    """The payloads of an array of structs as hex texts; null is empty, unless there is
+    ``always`` a struct."""
+    pieces = []
+    for f in message.fields:
+        if f.is_single:
+            pieces.append(_single_hex(f, values).alias(f"f{f.number}"))
+        else:
+            many = F.transform(
+                values,
+                lambda x, f=f: F.when(
+                    is_written(f, x.getField(f.name)), _many_hex(f, x.getField(f.name))
+                ).otherwise(F.lit("")),
+            )
+            pieces.append(many.alias(f"f{f.number}"))
+    if not pieces:
+        return F.transform(values, lambda x: F.lit(""))
+    joined = F.transform(
+        F.arrays_zip(*pieces), lambda z: F.concat(*[z.getField(f"f{f.number}") for f in message.fields])
+    )
+    if always or not any(f.required for f in message.fields):
+        return joined
+    return F.zip_with(values, joined, lambda x, text: F.when(x.isNull(), F.lit("")).otherwise(text))
+
+
+# Outside lambdas: bytes, values bound by temporary columns.
+
+
+def _varint(value: Column, level: int, stages: Stages) -> Column:
+    return F.expr(varint_hex(stages.bind(level, value)))
+
+
+def _field_bytes(field: Field, value: Column, stages: Stages) -> Column:
+    tag = F.lit(tag_hex(field.number, field.wire))
     if field.packable:
-        content = names.hold(0, F.unhex(F.array_join(_values_hex(field, value), "")))
-        length = names.hex_of(1, F.octet_length(content).cast("long"), varint_hex)
-        many = F.unhex(F.concat(F.lit(block), length))
-        return F.concat(F.when(F.size(value) > 1, many).otherwise(F.unhex(F.lit(tag))), content)
-    if field.repeated:
-        return F.unhex(F.array_join(each(_values_hex(field, value), f"concat('{tag}', v)"), ""))
+        content = stages.hold(0, F.array_join(_values_hex(field, value, ""), ""))
+        length = _varint((F.length(content) / 2).cast("long"), 1, stages)
+        block = F.concat(F.lit(tag_hex(field.number, BYTES)), length)
+        return F.unhex(F.concat(F.when(F.size(value) > 1, block).otherwise(tag), content))
+    if not field.is_single:
+        return F.unhex(_many_hex(field, value))
     if field.wire == BYTES:
-        level = _height(field.kind) + 2 if field.is_message else 0
-        content = names.hold(level, _content(field, value, names))
-        length = names.hex_of(level + 1, F.octet_length(content).cast("long"), varint_hex)
-        return F.concat(F.unhex(F.concat(F.lit(tag), length)), content)
-    present = F.coalesce(value, zero_literal(field))
-    number = names.hex_of(0, wire_long(present, field.scalar), _number_sql(field.wire))
-    return F.unhex(F.concat(F.lit(tag), number))
-
-
-def message_bytes(message: Message, get: Callable[[str], Column], names) -> Column:
-    """The payload of a record whose fields ``get`` returns, in declaration order;
-    ``names`` holds intermediate values."""
+        level = 0
+        content = F.encode(value, "UTF-8") if field.scalar == "string" else value
+        if field.is_message:
+            level = _height(field.kind) + 2
+            content = message_bytes(field.kind, value.getField, stages)
+            content = F.when(value.isNull(), F.lit(EMPTY)).otherwise(content)
+        held = stages.hold(level, F.coalesce(content, F.lit(EMPTY)))
+        length = _varint(F.octet_length(held).cast("long"), level + 1, stages)
+        return F.concat(F.unhex(F.concat(tag, length)), held)
+    pattern = stages.bind(0, _pattern(field, value))
+    return F.unhex(F.concat(tag, F.expr(_number_sql(field.wire, pattern))))
+
+
+def message_bytes(message: Message, get: Callable[[str], Column], stages: Stages) -> Column:
+    """The payload of a record whose fields ``get`` returns, in declaration order."""
     pieces = [
-        F.when(is_written(f, get(f.name)), _field_bytes(f, get(f.name), names)).otherwise(
+        F.when(is_written(f, get(f.name)), _field_bytes(f, get(f.name), stages)).otherwise(
             F.lit(EMPTY)
         )
         for f in message.fields

@@ -8,40 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.schemas import READ_WINDOW
+from tidelog.session import work_path
 
-ROWS_PER_BUCKET = 250_000
-MAX_BUCKETS = 4096
-
-
-def cut_points(df: DataFrame, order_by: list[str], rows: int, buckets: int) -> list:
-    """At most ``buckets - 1`` order keys that split ``df`` about evenly.
-
-    Only a sample of some twenty keys per bucket is looked at; a poor sample makes
-    the buckets uneven, never the numbering wrong.
-    """
-    keys = df.select(*order_by)
-    fraction = min(1.0, 20.0 * buckets / max(rows, 1))
-    sampled = keys.sample(fraction=fraction, seed=7).orderBy(*order_by).collect()
-    step = max(1, len(sampled) // buckets)
-    return sorted(set(sampled[step::step]), key=sampled.index)[: buckets - 1]
-
-
-def bucket_of(order_by: list[str], cuts: list) -> Column:
-    """How many cut points lie at or below a row's key, by binary search."""
-    if not cuts:
-        return F.lit(0)
-    key = F.struct(*[F.col(c) for c in order_by])
-    bounds = F.array(
-        *[F.struct(*[F.lit(v).alias(c) for c, v in zip(order_by, cut)]) for cut in cuts]
-    )
-    steps = F.array(*[F.lit(1 << s) for s in range(len(cuts).bit_length() - 1, -1, -1)])
-
-    def probe(found: Column, step: Column) -> Column:
-        ahead = found + step
-        inside = ahead <= F.lit(len(cuts))
-        return F.when(inside & (F.get(bounds, ahead - 1) <= key), ahead).otherwise(found)
-
-    return F.aggregate(steps, F.lit(0), probe)
+#: ``monotonically_increasing_id`` keeps the partition above these bits.
+ROW_BITS = 33
 
 
 def dense_ids(
@@ -49,32 +19,36 @@ def dense_ids(
     order_by: list[str] | str,
     start: int = 0,
     id_col: str = "id",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Consecutive ids from ``start + 1`` in the order of the unique key ``order_by``.
 
-    Rows are cut into key ranges, numbered inside their range, and shifted by the
-    rows of the ranges before it. The one shuffle is by range; the counts of the at
-    most 4096 ranges are all that is broadcast. ``df`` is read more than once and
-    must give the same rows each time.
+    The rows are sorted over range partitions and stored once in the shared folder with
+    their place in their partition, so that sizes and rows come from the same sort even
+    when tasks are repeated. An id is that place plus the rows of the partitions before;
+    only the partition sizes (one row per sort task) are broadcast. ``keep`` names the
+    columns to carry along; the order key need not be one of them.
     """
     order_by = [order_by] if isinstance(order_by, str) else list(order_by)
-    rows = df.count()
-    buckets = min(MAX_BUCKETS, -(-rows // rows_per_bucket))
-    cuts = cut_points(df, order_by, rows, buckets) if buckets > 1 else []
-    tagged = df.withColumn("_bucket", bucket_of(order_by, cuts))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        tagged.groupBy("_bucket")
+    spark = df.sparkSession
+    path = work_path(spark, "numbering")
+    columns = df.columns if keep is None else keep
+    ordered = df.select(*dict.fromkeys([*columns, *order_by])).orderBy(*order_by)
+    placed = ordered.select(*columns, F.monotonically_increasing_id().alias("_at"))
+    placed.write.parquet(path)
+    stored = spark.read.schema(placed.schema).parquet(path)
+    stored = stored.withColumn("_part", F.shiftright("_at", ROW_BITS))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        stored.groupBy("_part")
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"))
+        .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"))
     )
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order_by))
+    place = F.col("_at").bitwiseAND((1 << ROW_BITS) - 1)
     return (
-        tagged.withColumn("_rank", rank)
-        .join(F.broadcast(offsets), "_bucket")
-        .withColumn(id_col, F.lit(start).cast("long") + F.col("_shift") + F.col("_rank"))
-        .drop("_bucket", "_rank", "_shift")
+        stored.join(F.broadcast(shifts), "_part")
+        .withColumn(id_col, F.lit(start + 1).cast("long") + F.col("_shift") + place)
+        .drop("_part", "_shift", "_at")
     )
 
 

@@ -25,15 +25,19 @@ def log_scan(
 
 
 def number_packets(
-    df: DataFrame, order_by: list[str] | str, last_id: int, shards: int
+    df: DataFrame,
+    order_by: list[str] | str,
+    last_id: int,
+    shards: int,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """The next ids after ``last_id`` in ``order_by`` order, and the shard of each."""
-    numbered = dense_ids(df, order_by, last_id)
+    numbered = dense_ids(df, order_by, last_id, keep=keep)
     return numbered.withColumn("shard", shard_of("id", shards))
 
 
 def write_log(numbered: DataFrame, path: str, mode: str = "append") -> None:
-    """Write numbered rows by shard. Numbering leaves every task with ranges of ids, so
+    """Write numbered rows by shard. Numbering leaves every task with a range of ids, so
     no further shuffle is needed; files are sorted by id for range reads."""
     (
         numbered.sortWithinPartitions("shard", "id")
@@ -45,12 +49,18 @@ def write_log(numbered: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def log_append(
-    df: DataFrame, path: str, order_by: list[str] | str, last_id: int = 0, shards: int = 4
+    df: DataFrame,
+    path: str,
+    order_by: list[str] | str,
+    last_id: int = 0,
+    shards: int = 4,
+    keep: tuple[str, ...] = ("data",),
 ) -> int:
-    """Number, route and store a batch of packets; returns the new writer pointer."""
-    rows = df.count()
-    write_log(number_packets(df, order_by, last_id, shards), path)
-    return last_id + rows
+    """Number, route and store the columns ``keep`` of a batch of packets; returns the
+    new writer pointer."""
+    numbered = number_packets(df, order_by, last_id, shards, list(keep))
+    write_log(numbered, path)
+    return numbered.agg(F.coalesce(F.max("id"), F.lit(last_id))).first()[0]
 
 
 def log_upsert(log: DataFrame, incoming: DataFrame) -> DataFrame:

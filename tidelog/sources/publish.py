@@ -32,7 +32,7 @@ def publish_sourced(
     """Payloads in ``data`` wrapped in the sourced envelope and numbered."""
     source = source if isinstance(source, Column) else F.lit(source)
     wrapped = pack_sourced(df, source, source_id, source_name, F.col("data"))
-    return number_packets(wrapped, order_by, last_id, shards)
+    return number_packets(wrapped, order_by, last_id, shards, ["data"])
 
 
 def publish_encoded(
@@ -43,4 +43,4 @@ def publish_encoded(
     shards: int = 4,
 ) -> DataFrame:
     """Typed records encoded into ``data`` and numbered."""
-    return number_packets(encode_messages(df, message), order_by, last_id, shards)
+    return number_packets(encode_messages(df, message), order_by, last_id, shards, ["data"])

@@ -67,6 +67,7 @@ def publish_stream(
     order_by: list[str] | str,
     checkpoint: str,
     shards: int = 4,
+    keep: tuple[str, ...] = ("data",),
     once: bool = False,
 ) -> StreamingQuery:
     """Number and store a stream of packets. A batch starts at the pointer the batch
@@ -78,7 +79,7 @@ def publish_stream(
         before = load_pointers(spark, pointer_path, batch_id - 1).first()
         last_id = before["ptr"] if before else 0
         target = batch_path(path, batch_id)
-        write_log(number_packets(batch, order_by, last_id, shards), target, "overwrite")
+        write_log(number_packets(batch, order_by, last_id, shards, list(keep)), target, "overwrite")
         stored = spark.read.schema(T.StructType([LOG["id"]])).parquet(target).count()
         row = spark.createDataFrame([(queue, WRITER, last_id + stored)], POINTERS)
         save_pointers(row, pointer_path, batch_id)
