@@ -170,11 +170,9 @@ def _messages_hex(message: Message, values: Column, always: bool = False) -> Col
         if f.is_single:
             pieces.append(_single_hex(f, values).alias(f"f{f.number}"))
         else:
+            given = F.transform(values, lambda x: x.getField(f.name))
             many = F.transform(
-                values,
-                lambda x, f=f: F.when(
-                    is_written(f, x.getField(f.name)), _many_hex(f, x.getField(f.name))
-                ).otherwise(F.lit("")),
+                given, lambda v: F.when(is_written(f, v), _many_hex(f, v)).otherwise(F.lit(""))
             )
             pieces.append(many.alias(f"f{f.number}"))
     if not pieces:
