@@ -52,6 +52,11 @@ def dense_ids(
     )
 
 
+def floor_div(value: Column, by: int) -> Column:
+    """Whole division rounded down, in longs (a double would lose large ids)."""
+    return F.call_function("div", value - F.pmod(value, F.lit(by)), F.lit(by))
+
+
 def shard_of(ident: Column | str, shards: int) -> Column:
     """The shard an id lives in."""
     column = F.col(ident) if isinstance(ident, str) else ident
@@ -63,8 +68,8 @@ def assign_batches(df: DataFrame, size: int, after: int = 0, shards: int | None
     its shard (ids are dense, so the rank inside a shard follows from the id)."""
     offset = F.col("id") - F.lit(after + 1)
     if shards is not None:
-        offset = F.floor(offset / F.lit(shards))
-    return df.withColumn("batch", F.floor(offset / F.lit(size)).cast("long"))
+        offset = floor_div(offset, shards)
+    return df.withColumn("batch", floor_div(offset, size))
 
 
 def ordered_log(log: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.numbering import floor_div
+
 WORD = 32
 FULL = (1 << WORD) - 1
 BLOCK = 1 << 20
@@ -79,7 +81,7 @@ def _word_runs(mask: Column) -> Column:
     single = F.array(F.struct(low.alias("lo"), (low + length - 1).alias("hi")))
     # adding the lowest bit carries through a single run and clears all of it
     is_single = mask.bitwiseAND(mask + mask.bitwiseAND(-mask)) == 0
-    bits = F.sequence(F.lit(0).cast("long"), F.lit(WORD - 1).cast("long"))
+    bits = F.sequence(low, F.length(F.bin(mask)).cast("long") - 1)
 
     def edges(side: Column) -> Column:
         edge = mask.bitwiseAND(F.lit(FULL).cast("long").bitwiseXOR(side))
@@ -112,7 +114,7 @@ def _block_runs(df: DataFrame, keys: list[str], ident: str, block: int) -> DataF
     base = F.col("word") * WORD
     runs = word_masks(df, keys, ident).select(
         *keys,
-        F.floor(base / F.lit(block)).cast("long").alias("_block"),
+        floor_div(base, block).alias("_block"),
         base.alias("_base"),
         F.explode(_word_runs(F.col("mask"))).alias("r"),
     )
@@ -195,7 +197,7 @@ def ack_frontier_bucketed(
     """
     if bucket % WORD:
         raise ValueError(f"bucket must be a multiple of {WORD}")
-    number = F.floor(F.col("word") * WORD / F.lit(bucket)).cast("long")
+    number = floor_div(F.col("word") * WORD, bucket)
     full = (
         word_masks(acks.where(F.col(ident) > start), [], F.col(ident) - (start + 1))
         .groupBy(number.alias("b"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.operators.numbering import dense_ids, shard_of, union_all
+from tidelog.operators.numbering import dense_ids, floor_div, shard_of, union_all
 from tidelog.schemas import LOG
 
 ROWS_PER_FILE = 4_000_000
@@ -79,7 +79,7 @@ def log_upsert_into(spark: SparkSession, path: str, incoming: DataFrame, shards:
     merged = log_upsert(log_scan(spark, path, touched), incoming)
     (
         merged.withColumn("shard", shard_of("id", shards))
-        .repartition("shard", F.floor(F.col("id") / F.lit(ROWS_PER_FILE)))
+        .repartition("shard", floor_div(F.col("id"), ROWS_PER_FILE))
         .sortWithinPartitions("shard", "id")
         .write.partitionBy("shard")
         .option("partitionOverwriteMode", "dynamic")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tidelog.operators.numbering import floor_div
 from tidelog.operators.runs import ack_frontier
 from tidelog.session import cut
 from tidelog.sources.pointers import has_version, load_pointers, pointer_state, save_pointers
@@ -58,7 +59,7 @@ def stream_ack_frontier(acks: DataFrame, pointers: DataFrame | None = None) -> D
         "queue",
         "consumer",
         "start",
-        F.floor(offset / BLOCK_IDS).cast("long").alias("block"),
+        floor_div(offset, BLOCK_IDS).alias("block"),
         F.pmod(offset, F.lit(BLOCK_IDS)).cast("int").alias("place"),
     )
     return placed.groupBy("queue", "consumer", "start", "block").transformWithStateInPandas(
@@ -72,7 +73,7 @@ def merge_progress(open_blocks: DataFrame, updates: DataFrame, pointers: DataFra
     names = ["queue", "consumer", "start"]
     blocks = open_blocks.unionByName(updates.select(*names, "block", "prefix"))
     blocks = blocks.groupBy(*names, "block").agg(F.max("prefix").alias("prefix"))
-    passed = pointers.select(*names, F.floor((F.col("ptr") - F.col("start")) / BLOCK_IDS).cast("long").alias("_passed"))
+    passed = pointers.select(*names, floor_div(F.col("ptr") - F.col("start"), BLOCK_IDS).alias("_passed"))
     known = blocks.join(passed, names, "left").withColumn("_passed", F.coalesce("_passed", F.lit(0).cast("long")))
     # a block that is not full shows up as a stale ack, so its consumer stays in the result
     number = F.when(F.col("prefix") == BLOCK_IDS, F.col("block") + 1).otherwise(F.lit(0))
@@ -118,7 +119,7 @@ def commit_pointers(
         )
         after.write.mode("overwrite").parquet(f"{path}/frontiers/version={batch_id}")
         moved = table("frontiers", batch_id, FRONTIERS)
-        passed = F.floor((F.col("ptr") - F.col("start")) / BLOCK_IDS)
+        passed = floor_div(F.col("ptr") - F.col("start"), BLOCK_IDS)
         still_open = (
             open_before.unionByName(updates.select(OPEN.names))
             .groupBy(*names, "block")

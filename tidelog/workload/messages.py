@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.messages import SOURCED, Enum, Field, Message
 from tidelog.operators import decode, encode
+from tidelog.session import spread
 from tidelog.sources import publish
 from tidelog.workload import Registry
 from tidelog.workload.tables import SHARDS, big, table, text_bytes
@@ -47,7 +48,7 @@ DAY = "datediff(o_orderdate, DATE'1998-01-01')"
 
 def order_records(spark, sf):
     """``orders`` in the shape of :data:`ORDER`."""
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders")).select(
         F.col("o_orderkey").cast("decimal(20,0)").alias("order_key"),
         F.expr(DAY).alias("day"),
         F.expr("CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END").alias("status"),
@@ -159,7 +160,7 @@ def s9(spark, sf):
 
 def line_records(spark, sf):
     """``lineitem`` in the shape of :data:`LINE`."""
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem")).select(
         F.col("l_orderkey").alias("order_key"),
         F.col("l_linenumber").alias("line_number"),
         F.col("l_quantity").cast("float").alias("quantity"),

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from tidelog.functions.typed_text import typed_columns
 from tidelog.operators import names
-from tidelog.session import work_path
+from tidelog.session import spread, work_path
 from tidelog.sources.documents import read_documents
 from tidelog.workload import Registry
 from tidelog.workload.tables import table
@@ -80,7 +80,7 @@ def a14(spark, sf):
   CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE CAST(5400 AS BIGINT) END AS at_offset, o_custkey % 10 = 0 AS at_error FROM orders""",
 )
 def m6(spark, sf):
-    texts = table(spark, sf, "orders").select(
+    texts = spread(table(spark, sf, "orders")).select(
         "o_orderkey",
         F.expr(
             "(o_orderkey % 50) || 'h' || (o_custkey % 60) || 'm' || (o_orderkey % 1000) || IF(o_orderstatus = 'P', 'x', 'ms')"
