@@ -10,6 +10,7 @@ from tidelog.workload import Registry
 from tidelog.workload.tables import (
     EVENTS_LOG,
     ORDER_ACKS,
+    ORDER_LOG,
     events_log,
     frontier_sql,
     islands_sql,
@@ -31,7 +32,7 @@ def a1(spark, sf):
 
 @R.add("a1_ack_frontier_hot", f"WITH {ORDER_ACKS} {frontier_sql('acks', 'queue, consumer')}")
 def a1_hot(spark, sf):
-    return runs.ack_frontier(order_acks(spark, sf), ["queue", "consumer"])
+    return runs.ack_frontier(order_acks(table(spark, sf, "lineitem")), ["queue", "consumer"])
 
 
 @R.add(
@@ -61,12 +62,12 @@ def a3(spark, sf):
   FROM (SELECT DISTINCT * FROM acks)) WHERE id - before > 1""",
 )
 def a4(spark, sf):
-    return runs.log_gaps(order_acks(spark, sf), ["queue", "consumer"], block=4096)
+    return runs.log_gaps(order_acks(table(spark, sf, "lineitem")), ["queue", "consumer"], block=4096)
 
 
 @R.add("w2_islands", f"WITH {ORDER_ACKS} {islands_sql('acks', 'queue, consumer')}")
 def w2(spark, sf):
-    return runs.islands(order_acks(spark, sf), ["queue", "consumer"], block=4096)
+    return runs.islands(order_acks(table(spark, sf, "lineitem")), ["queue", "consumer"], block=4096)
 
 
 def event_pointers(spark, sf):
@@ -133,14 +134,14 @@ def p2(spark, sf):
 @R.add(
     "j2_in_flight",
     f"""WITH {ORDER_ACKS}, f AS ({frontier_sql('acks', 'queue, consumer')}),
-reads AS (SELECT queue, consumer, max(id) AS last_read FROM acks GROUP BY queue, consumer)
-SELECT r.queue, r.consumer, o_orderkey + 1 AS id, hex(o_orderpriority) AS data
-FROM orders, reads r JOIN f ON f.queue = r.queue AND f.consumer = r.consumer
-WHERE o_orderkey + 1 > frontier AND o_orderkey + 1 <= last_read
-  AND NOT EXISTS (SELECT 1 FROM acks a WHERE a.consumer = r.consumer AND a.id = o_orderkey + 1)""",
+reads AS (SELECT queue, consumer, max(id) AS last_read FROM acks GROUP BY queue, consumer), {ORDER_LOG}
+SELECT log.queue, r.consumer, log.id, hex(data) AS data
+FROM log JOIN reads r ON r.queue = log.queue JOIN f ON f.queue = r.queue AND f.consumer = r.consumer
+WHERE log.id > frontier AND log.id <= last_read
+  AND NOT EXISTS (SELECT 1 FROM acks a WHERE a.queue = r.queue AND a.consumer = r.consumer AND a.id = log.id)""",
 )
 def j2(spark, sf):
-    acks = order_acks(spark, sf)
+    acks = order_acks(table(spark, sf, "lineitem"))
     pointers = runs.ack_frontier(acks, ["queue", "consumer"]).withColumnRenamed("frontier", "ptr")
     last_read = acks.groupBy("queue", "consumer").agg(F.max("id").alias("last_read"))
     log = order_log(spark, sf).select("queue", "id", "data")
@@ -149,12 +150,12 @@ def j2(spark, sf):
 
 @R.add(
     "j3_confirmations",
-    f"""WITH acks AS (SELECT 'orders' AS queue, l_orderkey + 1 AS id FROM lineitem), f AS ({frontier_sql('acks', 'queue')})
-SELECT 'orders' AS queue, o_orderkey + 1 AS id, o_orderkey + 1 <= frontier AS confirmed FROM orders, f""",
+    f"""WITH {ORDER_ACKS}, {ORDER_LOG}, f AS ({frontier_sql('acks', 'queue')})
+SELECT log.queue, id, id <= coalesce(frontier, 0) AS confirmed FROM log LEFT JOIN f ON f.queue = log.queue""",
 )
 def j3(spark, sf):
     sent = order_log(spark, sf).select("queue", "id")
-    return delivery.confirmations(sent, order_acks(spark, sf).select("queue", "id"))
+    return delivery.confirmations(sent, order_acks(table(spark, sf, "lineitem")).select("queue", "id"))
 
 
 @R.add(

@@ -10,7 +10,7 @@ from tidelog.schemas import READ_WINDOW
 from tidelog.session import work_path
 from tidelog.sources import log_table, pointers, publish
 from tidelog.workload import Registry
-from tidelog.workload.tables import EVENTS_LOG, SHARDS, big, events_log, order_log, table, text_bytes
+from tidelog.workload.tables import EVENTS_LOG, SHARDS, big, events_log, table, text_bytes
 
 R = Registry()
 
@@ -60,7 +60,8 @@ def s4(spark, sf):
         F.encode(F.concat("l_returnflag", "l_linestatus", F.col("l_partkey").cast("string")), "UTF-8").alias("data"),
         F.col("l_shipdate").alias("seq"),
     )
-    return log_table.log_upsert(order_log(spark, sf), incoming).select("id", F.hex("data").alias("data"))
+    log = table(spark, sf, "orders").select((F.col("o_orderkey") + 1).alias("id"), text_bytes("o_orderpriority").alias("data"))
+    return log_table.log_upsert(log, incoming).select("id", F.hex("data").alias("data"))
 
 
 @R.add(

@@ -10,7 +10,7 @@ from tidelog.session import work_path
 from tidelog.sources.log_table import write_log
 from tidelog.streaming import frontier, receive, throughput
 from tidelog.workload import Registry
-from tidelog.workload.tables import EVENTS_LOG, ORDER_ACKS, SHARDS, big, events_log, frontier_sql, table, text_bytes
+from tidelog.workload.tables import EVENTS_LOG, ORDER_ACKS, SHARDS, big, events_log, frontier_sql, order_acks, table, text_bytes
 
 R = Registry()
 
@@ -36,9 +36,7 @@ def t1(spark, sf):
 
 
 def _acks(spark, sf):
-    return stream_of(spark, sf, "lineitem").select(
-        F.lit("orders").alias("queue"), F.col("l_linestatus").alias("consumer"), (F.col("l_orderkey") + 1).alias("id")
-    )
+    return order_acks(stream_of(spark, sf, "lineitem"))
 
 
 @R.add(

@@ -51,27 +51,27 @@ def line_acks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def order_acks(spark: SparkSession, sf: str) -> DataFrame:
+def order_queue(key: str) -> list[Column]:
+    """Queue and id of an order: even and odd keys are two queues, dense from 1."""
+    return [F.expr(f"concat('orders-', {key} % 2)").alias("queue"), F.expr(f"{key} div 2 + 1").alias("id")]
+
+
+def order_acks(lines: DataFrame) -> DataFrame:
     """``lineitem`` as acks of orders: few, long and hot queues."""
-    return table(spark, sf, "lineitem").select(
-        F.lit("orders").alias("queue"),
-        F.col("l_linestatus").alias("consumer"),
-        (F.col("l_orderkey") + 1).alias("id"),
-    )
+    return lines.select(*order_queue("l_orderkey"), F.col("l_linestatus").alias("consumer"))
 
 
 def order_log(spark: SparkSession, sf: str) -> DataFrame:
-    """``orders`` as a log of one queue."""
+    """``orders`` as a log of two queues."""
     return table(spark, sf, "orders").select(
-        F.lit("orders").alias("queue"),
-        (F.col("o_orderkey") + 1).alias("id"),
-        text_bytes("o_orderpriority").alias("data"),
-        F.pmod(F.col("o_orderkey") + 1, F.lit(SHARDS)).cast("int").alias("shard"),
+        *order_queue("o_orderkey"), text_bytes("o_orderpriority").alias("data")
     )
 
 
 ORDER_ACKS = """
-acks AS (SELECT 'orders' AS queue, l_linestatus AS consumer, l_orderkey + 1 AS id FROM lineitem)"""
+acks AS (SELECT 'orders-' || (l_orderkey % 2) AS queue, l_linestatus AS consumer, l_orderkey // 2 + 1 AS id FROM lineitem)"""
+ORDER_LOG = """
+log AS (SELECT 'orders-' || (o_orderkey % 2) AS queue, o_orderkey // 2 + 1 AS id, o_orderpriority AS data FROM orders)"""
 
 
 def frontier_sql(acks: str, keys: str) -> str:
