@@ -47,7 +47,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when the input has fewer splits than that (a small or
-    unsplittable file ahead of costly work per row); anything larger is left alone."""
+    unsplittable file ahead of costly work per row); anything larger is left alone. For
+    table scans: asking a plan with shuffles for its partitions would run them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

@@ -123,7 +123,8 @@ def s11(spark, sf):
         .groupBy("conv_id", F.floor(F.col("turn") / TURNS_PER_DOC).alias("part"))
         .agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns"))
     )
-    docs.write.option("maxRecordsPerFile", 1).json(folder)
+    cores = spark.sparkContext.defaultParallelism
+    docs.repartition(cores).write.option("maxRecordsPerFile", 1).json(folder)
     read = read_documents(spark, folder, "**/*.json", DOC)
     chars = F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + F.length(t["text"]))
     return read.select("conv_id", "part", F.size("turns").cast("long").alias("turns"), chars.alias("chars"), F.lit(1).alias("files"))
