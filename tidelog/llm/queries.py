@@ -35,3 +35,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.packing import best_fit_packing, token_pieces
 
     return best_fit_packing(token_pieces(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE)))
+
+
+@R.add("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.toxicity import fit_toxicity, toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
