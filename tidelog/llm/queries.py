@@ -43,3 +43,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+@R.add("op9_imatch")
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.imatch import imatch_fingerprints
+
+    return imatch_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@R.add("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.pii import fit_pii, pii_spans
+
+    docs = table(spark, sf_dir, "documents")
+    return pii_spans(docs, fit_pii(docs))
