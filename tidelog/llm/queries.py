@@ -58,3 +58,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return pii_spans(docs, fit_pii(docs))
+
+
+@R.add("op6_ngram_jaccard")
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.ngram_join import ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents"), words=4, percent=85)
