@@ -65,3 +65,20 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.ngram_join import ngram_components
 
     return ngram_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+@R.add("op2_context_tree")
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tidelog.llm.context_tree import score_texts
+
+    training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    return score_texts(table(spark, sf_dir, "documents"), training)
+
+
+@R.add("op4_suffix_array")
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.suffix_dedup import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents")).drop("kept")

@@ -43,7 +43,7 @@ def suffix_array_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     from tidelog.llm.suffix_dedup import repeated_spans, without_spans
 
     spans = cut(repeated_spans(docs))
-    return without_spans(docs, spans)
+    return with_text(without_spans(docs, spans), F.col("text"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
