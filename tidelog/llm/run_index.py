@@ -54,16 +54,25 @@ def build(segments: list[bytes]) -> tuple[RunIndex, np.ndarray]:
     longest = int(sizes.max()) + 1 if len(sizes) else 1
     left = np.repeat(ends, sizes + 1) - order  # bytes from here to the end
 
-    def doubled(rank: np.ndarray, step: int) -> np.ndarray:
-        beyond = np.zeros(size, np.int64)
-        inside = left >= step
-        beyond[inside] = rank[order[inside] + step] + 1
-        key = rank * (size + 2) + beyond
-        by = np.argsort(key, kind="stable")
-        fresh = np.concatenate([[0], np.cumsum(key[by][1:] != key[by][:-1])])
-        out = np.empty(size, np.int64)
-        out[by] = fresh
-        return out
+    def doubled(rank: np.ndarray, step: int, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks by twice as many bytes, and the places that still share theirs. A rank is the
+        row at which its places begin, so places that stand alone keep theirs."""
+        beyond = np.zeros(len(open_), np.int64)
+        inside = left[open_] >= step
+        beyond[inside] = rank[open_[inside] + step] + 1
+        own = rank[open_]
+        key = own * (size + 2) + beyond
+        by = np.argsort(key)
+        key, own, sorted_ = key[by], own[by], open_[by]
+        n = np.arange(len(by))
+        new_key = np.concatenate([[True], key[1:] != key[:-1]])
+        new_own = np.concatenate([[True], own[1:] != own[:-1]])
+        first_key = np.maximum.accumulate(np.where(new_key, n, 0))
+        first_own = np.maximum.accumulate(np.where(new_own, n, 0))
+        out = rank.copy()
+        out[sorted_] = own + first_key - first_own
+        alone = new_key & np.append(new_key[1:], True)
+        return out, sorted_[~alone]
 
     step = 1
     while step < longest and step < 4:  # up to four bytes by packing
@@ -73,15 +82,21 @@ def build(segments: list[bytes]) -> tuple[RunIndex, np.ndarray]:
         levels.append((step, rank))
         rank = rank * (257 if step == 1 else 257**2) + beyond
         step *= 2
-    rank = np.unique(rank, return_inverse=True)[1] if size else rank
-    while step < longest:
+    if size:
+        by = np.argsort(rank)
+        fresh = np.concatenate([[True], rank[by][1:] != rank[by][:-1]])
+        rank[by] = np.maximum.accumulate(np.where(fresh, np.arange(size), 0))
+        open_ = by[~(fresh & np.append(fresh[1:], True))]
+    while step < longest and size and len(open_):
         levels.append((step, rank))
-        rank = doubled(rank, step)
+        rank, open_ = doubled(rank, step, open_)
         step *= 2
     # Equal whole rests (of different segments) are ordered by their place.
-    rows = np.argsort(rank, kind="stable")
+    rows = np.argsort(rank * size + order)
     before = np.where(rows > 0, text[rows - 1], -1)
-    before[np.isin(rows, starts)] = -1
+    at_start = np.zeros(size, bool)
+    at_start[starts] = True
+    before[at_start[rows]] = -1
     change = np.concatenate([[True], (before[1:] != before[:-1]) | (before[1:] == -1)]) if size else np.zeros(0, bool)
     head = np.flatnonzero(change)
     tail = np.append(head[1:], size) - 1

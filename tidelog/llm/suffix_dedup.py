@@ -144,46 +144,21 @@ def text_anchors(rows: DataFrame, length: int) -> DataFrame:
     )
 
 
-FOUND = "kind int, seed long, uid long, place int, low int, high int"
-
-
 def grouped(found: DataFrame, most_segments: int) -> DataFrame:
     """Rows of anchors that stand in more than one place. Kind 0: all windows are repeated;
-    1: to be indexed; 2: to be split, the group is large; 3: as 1, known already, a target."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-        for batch in batches:
-            kept.append(batch)
-        if not kept:
-            return
-        table = pa.Table.from_batches(kept)
-        seed, uid, own = (table.column(c).to_numpy() for c in ("seed", "uid", "bytes_hash"))
-        place, low, high = (table.column(c).to_numpy() for c in ("place", "low", "high"))
-        order = np.lexsort((place, uid, own, seed))
-        seed, uid, own, place, low, high = (x[order] for x in (seed, uid, own, place, low, high))
-        n = len(seed)
-        new_seed = np.ones(n, bool)
-        new_seed[1:] = seed[1:] != seed[:-1]
-        new_own = new_seed.copy()
-        new_own[1:] |= own[1:] != own[:-1]
-        group = np.cumsum(new_own) - 1
-        copies = np.bincount(group)[group]
-        seeds = np.cumsum(new_seed) - 1
-        different = np.bincount(seeds, new_own)[seeds]
-        open_ = (different > 1) & new_own
-        large = different > most_segments
-        parts = [(0, copies > 1), (1, open_ & ~large & (copies == 1)), (2, open_ & large), (3, open_ & ~large & (copies > 1))]
-        for kind, mark in parts:
-            at = np.flatnonzero(mark)
-            for a in range(0, len(at), 100_000):
-                i = at[a : a + 100_000]
-                columns = [np.full(len(i), kind, np.int32), seed[i], uid[i], place[i], low[i], high[i]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in columns], ["kind", "seed", "uid", "place", "low", "high"]
-                )
-
-    return found.repartition("seed").mapInArrow(run, FOUND)
+    1: to be indexed; 2: to be split, the group is large; 3: as 1, known already, a target.
+    Groups are counted by aggregates and met by joins, so no task holds a hot anchor."""
+    alike = found.groupBy("seed", "bytes_hash").agg(
+        F.count("*").alias("copies"), F.min(F.struct("uid", "place", "low", "high")).alias("first")
+    )
+    alike = stored(alike, "alike")
+    seeds = alike.groupBy("seed").agg(F.count("*").alias("different")).where("different > 1")
+    repeated = alike.where("copies > 1").select("seed", "bytes_hash")
+    whole = found.join(repeated, ["seed", "bytes_hash"]).select(F.lit(0).alias("kind"), "seed", "uid", "place", "low", "high")
+    one_each = alike.join(seeds, "seed")
+    kind = F.when(F.col("different") > most_segments, 2).when(F.col("copies") > 1, 3).otherwise(1)
+    others = one_each.select(kind.alias("kind"), "seed", "first.uid", "first.place", "first.low", "first.high")
+    return whole.unionByName(others)
 
 
 def fetched(dealt: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -328,7 +303,8 @@ def repeated_spans(
     rows = keyed(docs, id_col, text_col)
     blocks = block_count(docs, text_col)
     dealt = to_blocks(rows.select(F.pmod("uid", F.lit(blocks)).cast("int").alias("block"), "uid", "text"), blocks)
-    found = stored(grouped(text_anchors(rows, length), most_segments), "anchors")
+    marks = stored(text_anchors(rows, length), "anchors")
+    found = stored(grouped(marks, most_segments), "anchors")
     block = F.pmod("uid", F.lit(blocks)).cast("int").alias("block")
     whole = found.where("kind = 0").select("uid", F.col("low").cast("long").alias("start"), F.col("high").cast("long").alias("stop"))
     wanted = found.where("kind > 0").select(block, "kind", "seed", "uid", "place", "low", "high")
