@@ -34,6 +34,7 @@ from tidelog.llm.arrays import ascii_words, batches_by, mixed, offsets_of, range
 from tidelog.llm.bpe import blocks
 from tidelog.llm.components import connected_components
 from tidelog.llm.imatch import term_hashes
+from tidelog.llm.packed import pack, pack_sorted, unpack, unpack_sorted
 from tidelog.session import cut, ship
 
 #: Text of one range of shingle hashes, about, in bytes.
@@ -119,8 +120,8 @@ def packed(docs: np.ndarray, sizes: np.ndarray, row: np.ndarray, value: np.ndarr
                 i,
                 docs[local].astype(np.int64).tobytes(),
                 sizes[local].astype(np.uint32).tobytes(),
-                value[a:b].tobytes(),
-                at.astype(np.uint16 if len(local) < 65536 else np.uint32).tobytes(),
+                pack_sorted(value[a:b]),
+                pack(at.astype(np.uint32)),
             ),
             strict=True,
         ):
@@ -167,8 +168,8 @@ def shared_sets(incidence: DataFrame, bits: int, percent: int) -> DataFrame:
         by_range: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for batch in batches:
             for key, docs, sizes, hashes, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                value = np.frombuffer(hashes, np.uint64)
-                at = np.frombuffer(rows, np.uint16 if len(rows) == 2 * len(value) else np.uint32)
+                value = unpack_sorted(hashes)
+                at = unpack(rows, np.uint32)
                 own = np.frombuffer(docs, np.int64)[at], np.frombuffer(sizes, np.uint32)[at], value
                 by_range.setdefault(key, []).append(own)
         for parts in by_range.values():
