@@ -10,8 +10,9 @@ the path of its context: each node's estimate counts with the posterior weight t
 stops there, and a path that training has never seen ends at its last known node. The
 predictions of a context sum to one over the bytes, so the model is a proper code.
 
-The trees are tables: n-gram counts with a map-side sum, one aggregate per depth upwards (a
-node has at most 256 children) and one join per depth downwards. Texts are dealt into blocks
+The trees are tables. Contexts that end in the same three bytes are a subtree, computed by
+one task; above them the trees take one aggregate per depth upwards (a node has at most 256
+children) and one join per depth downwards. Texts are dealt into blocks
 of bounded size; each block sends its distinct n-grams and words, gets their values back, and
 sums them up for its documents. So neither the model nor the vocabulary is ever held whole in
 one place, and what is gathered grows with the corpus.
@@ -24,6 +25,7 @@ every bit has probability one half.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -33,12 +35,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.arrays import ascii_words, batches_by, offsets_of, ranges, row_sums, texts_of
+from tidelog.llm.arrays import ascii_words, batches_by, mixed, offsets_of, ranges, row_sums, texts_of
 from tidelog.llm.blocks import block_count, to_blocks, unpacked
 from tidelog.llm.imatch import term_hashes
+from tidelog.llm.packed import pack, pack_sorted, unpack, unpack_sorted
 from tidelog.session import ship, work_path
 
 DEPTH = 5
+LEAST_BLOCKS = 12
 END = 0xFF
 #: Bytes whose n-grams are looked at together.
 STEP = 4 << 20
@@ -83,9 +87,9 @@ def counted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return distinct, np.bincount(codes, weights, len(distinct)).astype(np.int64)
 
 
-def block_counts(dealt: DataFrame, depth: int) -> DataFrame:
-    """``block, word, key, n``: the distinct words (by hash) and n-grams of every block, and
-    how often each stands in its training texts."""
+def block_counts(dealt: DataFrame, depth: int, bits: int) -> DataFrame:
+    """``block, word, range, keys, counts``: the distinct words (by hash) and n-grams of every
+    block, and how often each stands in its training texts, by range of the mixed key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches_by(batches, "block"):
@@ -105,21 +109,68 @@ def block_counts(dealt: DataFrame, depth: int) -> DataFrame:
                     n = np.bincount(codes, np.repeat(mark, sizes), len(hashes)).astype(np.int64)
                     found[1].append((hashes, n))
             for word, parts in enumerate(found):
-                keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-                keys, n = counted(keys, n)
-                for a in range(0, len(keys), 100_000):
-                    own = slice(a, a + 100_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(keys[own]), block), pa.int32()),
-                            pa.array(np.full(len(keys[own]), word), pa.int32()),
-                            pa.array(keys[own]),
-                            pa.array(n[own]),
-                        ],
-                        ["block", "word", "key", "n"],
-                    )
+                keys, n = counted(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                part = range_of(keys, bits)
+                order = np.lexsort((keys.view(np.uint64), part))
+                keys, n = keys[order], n[order]
+                cuts = np.searchsorted(part[order], np.arange(2**bits + 1))
+                for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                    if b > a:
+                        yield packed_row(block, word, i, pack_sorted(keys[a:b].view(np.uint64)), pack(n[a:b]))
+
+    return dealt.sortWithinPartitions("block").mapInArrow(run, PACKED)
+
+
+PACKED = "block int, word int, range int, keys binary, load binary"
+
+
+def packed_row(block: int, word: int, part: int, keys: bytes, load: bytes) -> pa.RecordBatch:
+    columns = [pa.array([x], pa.int32()) for x in (block, word, part)]
+    columns += [pa.array([x], pa.binary()) for x in (keys, load)]
+    return pa.RecordBatch.from_arrays(columns, ["block", "word", "range", "keys", "load"])
 
-    return dealt.sortWithinPartitions("block").mapInArrow(run, "block int, word int, key long, n long")
+
+def range_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The range that a key is dealt to."""
+    return (mixed(keys.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def summed(found: DataFrame) -> DataFrame:
+    """``range, key, n``: the counts of all blocks together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, keys, load in zip(*(batch.column(c).to_pylist() for c in ("range", "keys", "load")), strict=True):
+                held.setdefault(part, []).append((unpack_sorted(keys).view(np.int64), unpack(load, np.int64)))
+                if len(held[part]) >= 16:  # a range of many blocks is summed as it comes
+                    held[part] = [counted(*(np.concatenate(x) for x in zip(*held[part], strict=True)))]
+        for part, own in held.items():
+            keys, n = counted(*(np.concatenate(x) for x in zip(*own, strict=True)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(keys), part), pa.int32()), pa.array(keys), pa.array(n)], ["range", "key", "n"]
+            )
+
+    return found.repartition("range").mapInArrow(run, "range int, key long, n long")
+
+
+def answered(found: DataFrame, values: DataFrame) -> DataFrame:
+    """The packed rows with the values ``range, key, value`` of their keys as their load."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        key, value = right.column("key").to_numpy(), right.column("value").to_numpy()
+        order = np.argsort(key)
+        key, value = key[order], value[order]
+        out = []
+        for block, word, part, keys in zip(*(left.column(c).to_pylist() for c in ("block", "word", "range", "keys")), strict=True):
+            own = value[np.searchsorted(key, unpack_sorted(keys).view(np.int64))]
+            out.append(packed_row(block, word, part, keys, pack(own.astype(np.float64))))
+        return pa.Table.from_batches(out, schema=EMPTY)
+
+    return found.groupBy("range").cogroup(values.groupBy("range")).applyInArrow(run, PACKED)
+
+
+EMPTY = pa.schema([(c, pa.int32()) for c in ("block", "word", "range")] + [(c, pa.binary()) for c in ("keys", "load")])
 
 
 def log_gamma(x: Column) -> Column:
@@ -136,27 +187,87 @@ def estimate(n0: Column, n1: Column) -> Column:
     return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - float(np.log(np.pi))
 
 
-def decisions(counts: DataFrame) -> DataFrame:
-    """``key, context, node, bit, n``: the eight decisions of the last byte of each key."""
-    byte = F.col("key").bitwiseAND(F.lit(255)).cast("int")
-    rows = counts.withColumn("context", F.shiftright("key", 8)).withColumn("byte", byte)
-    rows = rows.withColumn("j", F.explode(F.array(*[F.lit(j) for j in range(8)])))
-    node = F.expr("cast(shiftleft(1, j) + shiftright(byte, 8 - j) as int)")
-    bit = F.expr("shiftright(byte, 7 - j) & 1")
-    return rows.select("key", "context", node.alias("node"), bit.alias("bit"), "n")
-
+def log_gamma_of(x: np.ndarray) -> np.ndarray:
+    """:func:`log_gamma` for an array."""
+    y = x + 8
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    product = np.prod([x + k for k in range(8)], axis=0)
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - np.log(product)
+
+
+@dataclass
+class Level:
+    """The nodes of one depth: context and node in one key, bit counts, the logarithm of the
+    weighted probability, the weight of stopping here, and each node's parent."""
+
+    key: np.ndarray
+    n0: np.ndarray
+    n1: np.ndarray
+    weighted: np.ndarray
+    stop: np.ndarray
+    parent: np.ndarray | None = None
+
+    def one(self) -> np.ndarray:
+        return (self.n1 + 0.5) / (self.n0 + self.n1 + 1.0)
+
+
+def tree_levels(keys: np.ndarray, n: np.ndarray, depth: int, least: int) -> tuple[list[Level], np.ndarray, np.ndarray]:
+    """The levels from ``depth`` up to ``least`` of all contexts of the keys, and for each
+    decision of each key its deepest node and its bit."""
+    context, byte = keys >> 8, keys & 255
+    j = np.arange(8)
+    node = (1 << j) | (byte[:, None] >> (8 - j))
+    bit = (byte[:, None] >> (7 - j)) & 1
+    at, own = pd.factorize(((context[:, None] << 8) | node).ravel())
+    bits = bit.ravel()
+    weight = np.repeat(n, 8).astype(float)
+    n1 = np.bincount(at, weight * bits, len(own))
+    n0 = np.bincount(at, weight * (1 - bits), len(own))
+
+    def estimated(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+        return log_gamma_of(n0 + 0.5) + log_gamma_of(n1 + 0.5) - log_gamma_of(n0 + n1 + 1.0) - np.log(np.pi)
+
+    levels = [Level(own, n0, n1, estimated(n0, n1), np.ones(len(own)))]
+    for d in range(depth - 1, least - 1, -1):
+        below = levels[-1]
+        up = (((below.key >> 8) & ((1 << (8 * d)) - 1)) << 8) | (below.key & 255)
+        below.parent, key = pd.factorize(up)
+        n0, n1, under = (np.bincount(below.parent, x, len(key)) for x in (below.n0, below.n1, below.weighted))
+        here = estimated(n0, n1)
+        levels.append(Level(key, n0, n1, np.logaddexp(here, under) - LN2, 1 / (1 + np.exp(np.clip(under - here, -700, 700)))))
+    return levels, at.reshape(-1, 8), bit
+
+
+def local_levels(counts: DataFrame, depth: int, split: int) -> DataFrame:
+    """``context, node, n0, n1, weighted, stop`` of the nodes of depth ``split``."""
 
-def gram_scores(counts: DataFrame, depth: int) -> DataFrame:
-    """``key, value``: the decimal logarithm of the probability of the last byte of each key
-    behind the others, from the training counts ``key, n`` of all keys."""
-    rows = decisions(counts)
-    n1 = F.sum(F.col("n") * F.col("bit"))
-    n0 = F.sum(F.col("n") * (1 - F.col("bit")))
-    level = rows.groupBy("context", "node").agg(n0.alias("n0"), n1.alias("n1"))
-    estimated = estimate(F.col("n0"), F.col("n1"))
-    level = stored(level.withColumn("weighted", estimated).withColumn("stop", F.lit(1.0)), "tree")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not parts:
+            return
+        keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        top = tree_levels(keys, n, depth, split)[0][-1]
+        columns = [top.key >> 8, (top.key & 255).astype(np.int32), top.n0.astype(np.int64), top.n1.astype(np.int64)]
+        columns += [top.weighted, top.stop]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["context", "node", "n0", "n1", "weighted", "stop"])
+
+    schema = "context long, node int, n0 long, n1 long, weighted double, stop double"
+    return counts.repartition("suffix").select("key", "n").mapInArrow(run, schema)
+
+
+def gram_scores(counts: DataFrame, depth: int, split: int = 3) -> DataFrame:
+    """``range, key, value``: the decimal logarithm of the probability of the last byte of each
+    key behind the others, from the training counts ``range, key, n`` of all keys. Contexts
+    that end in the same ``split`` bytes are a tree of their own below depth ``split``, which
+    one task can hold; the depths above are joins and aggregates."""
+    split = min(split, depth)
+    suffix = F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * split)) - 1))
+    group = F.pmod(F.xxhash64(suffix), F.lit(1 << 10)).cast("int")
+    counts = counts.withColumn("suffix", group)
+    level = stored(local_levels(counts, depth, split), "tree")
     levels = [level]
-    for d in range(depth - 1, -1, -1):
+    estimated = estimate(F.col("n0"), F.col("n1"))
+    for d in range(split - 1, -1, -1):
         parent = F.col("context").bitwiseAND(F.lit((1 << (8 * d)) - 1))
         level = level.groupBy(parent.alias("context"), "node").agg(
             F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("below")
@@ -179,7 +290,7 @@ def gram_scores(counts: DataFrame, depth: int) -> DataFrame:
     above = levels[0].select(
         "context", "node", (F.col("stop") * kt).alias("said"), (1 - F.col("stop")).alias("left"), kt.alias("last")
     )
-    for d in range(1, depth + 1):
+    for d in range(1, split + 1):
         up = above.select(F.col("context").alias("up"), "node", "said", "left", "last")
         own = levels[d].withColumn("up", F.col("context").bitwiseAND(F.lit((1 << (8 * (d - 1))) - 1)))
         known = F.col("n0") + F.col("n1") > 0
@@ -192,9 +303,26 @@ def gram_scores(counts: DataFrame, depth: int) -> DataFrame:
             F.when(known, F.col("left") * (1 - F.col("stop"))).otherwise(F.lit(0.0)).alias("left"),
             F.when(known, kt).otherwise(F.col("last")).alias("last"),
         )
-    predicted = above.select("context", "node", F.col("said").alias("one"))
-    chance = F.when(F.col("bit") == 1, F.col("one")).otherwise(1 - F.col("one"))
-    return rows.join(predicted, ["context", "node"]).groupBy("key").agg(F.sum(F.log10(chance)).alias("value"))
+    above = above.withColumn("suffix", F.pmod(F.xxhash64("context"), F.lit(1 << 10)).cast("int"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, n = left.column("key").to_numpy(), left.column("n").to_numpy()
+        levels, at, bit = tree_levels(keys, n, depth, split)
+        order_key = (right.column("context").to_numpy() << 8) | right.column("node").to_numpy()
+        order = np.argsort(order_key)
+        place = order[np.searchsorted(order_key[order], levels[-1].key)]
+        said, rest, last = (right.column(c).to_numpy()[place] for c in ("said", "left", "last"))
+        for level in levels[-2::-1]:
+            said, rest, last = said[level.parent], rest[level.parent], last[level.parent]
+            known, one = level.n0 + level.n1 > 0, level.one()
+            said = np.where(known, said + rest * level.stop * one, said + rest * last)
+            rest = np.where(known, rest * (1 - level.stop), 0.0)
+            last = np.where(known, one, last)
+        chance = np.where(bit == 1, said[at], 1 - said[at])
+        value = np.log10(chance).sum(1)
+        return pa.Table.from_arrays([left.column("range"), pa.array(keys), pa.array(value)], ["range", "key", "value"])
+
+    return counts.groupBy("suffix").cogroup(above.groupBy("suffix")).applyInArrow(run, "range int, key long, value double")
 
 
 def score_texts(
@@ -204,7 +332,7 @@ def score_texts(
     every row: the context tree's log10 probability of the text, learned from the rows where
     ``training`` holds, beside that of single words with one added to each count."""
     ship(docs.sparkSession)
-    blocks = block_count(docs, text_col)
+    blocks = block_count(docs, text_col, least=LEAST_BLOCKS)
     rows = docs.select(
         F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int").alias("block"),
         F.col(id_col).alias("id"),
@@ -212,22 +340,17 @@ def score_texts(
         F.col(text_col).cast("string").alias("text"),
     )
     dealt = to_blocks(rows, blocks)
-    found = stored(block_counts(dealt, depth), "block-counts")
-    words = stored(found.where("word = 1").groupBy("key").agg(F.sum("n").alias("n")), "words")
+    bits = max(32, 2 * blocks).bit_length()
+    found = stored(block_counts(dealt, depth, bits), "block-counts")
     # Every text ends with one end token, which is counted as a token of the vocabulary.
-    held = F.coalesce(training, F.lit(True))
-    ends = docs.agg(F.count(F.when(held, 1)).alias("n")).first()["n"]
+    ends = docs.agg(F.count(F.when(F.coalesce(training, F.lit(True)), 1)).alias("n")).first()["n"]
+    words = stored(summed(found.where("word = 1")), "words")
     total = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     train_tokens, distinct = (total["n"] or 0) + ends, total["v"] + (ends > 0)
-    counts = found.where("word = 0").groupBy("key").agg(F.sum("n").alias("n"))
-    scores = gram_scores(stored(counts, "grams"), depth)
-    values = (
-        found.where("word = 0").select("block", "word", "key").join(scores, "key")
-        .unionByName(
-            found.where("word = 1").select("block", "word", "key")
-            .join(words.select("key", F.col("n").cast("double").alias("value")), "key")
-        )
-    )
+    scores = gram_scores(stored(summed(found.where("word = 0")), "grams"), depth)
+    values = answered(found.where("word = 0"), scores).unionByName(
+        answered(found.where("word = 1"), words.select("range", "key", F.col("n").cast("double").alias("value")))
+    )
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"]
     floor = float(np.log10(train_tokens + distinct + 1))
@@ -237,11 +360,12 @@ def score_texts(
         return value[np.searchsorted(known, own)][codes] if len(own) else np.zeros(0)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.select(["word", "key", "value"])
-        word = right.column("word").to_numpy()
         tables = []
         for k in (0, 1):
-            key, value = (right.column(c).to_numpy()[word == k] for c in ("key", "value"))
+            own = right.filter(pc.equal(right.column("word"), k))
+            keys = [unpack_sorted(x).view(np.int64) for x in own.column("keys").to_pylist()]
+            load = [unpack(x, np.float64) for x in own.column("load").to_pylist()]
+            key, value = np.concatenate([*keys, np.zeros(0, np.int64)]), np.concatenate([*load, np.zeros(0)])
             order = np.argsort(key)
             tables.append((key[order], value[order]))
         out = []
