@@ -82,3 +82,10 @@ def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.suffix_dedup import deduplicated
 
     return deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@R.add("op7_nn_descent")
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.nn_descent import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
