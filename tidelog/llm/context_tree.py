@@ -45,7 +45,7 @@ DEPTH = 5
 LEAST_BLOCKS = 12
 END = 0xFF
 #: Bytes whose n-grams are looked at together.
-STEP = 4 << 20
+STEP = 1 << 20
 LN2 = float(np.log(2))
 
 
