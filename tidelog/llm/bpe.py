@@ -38,7 +38,7 @@ PATTERN = (
     r"| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 #: Texts of one Arrow batch are encoded in blocks of about this many characters.
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 12 << 20
 
 
 def byte_letters() -> dict[int, str]:
