@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.operators.numbering import shard_of
 from tidelog.operators.runs import ack_frontier
 from tidelog.plans.joins import attach
-from tidelog.schemas import READ_WINDOW, WRITER
+from tidelog.schemas import WRITER
 from tidelog.session import cut
 
 
@@ -50,7 +50,7 @@ def consumer_lag(pointers: DataFrame) -> DataFrame:
     )
 
 
-def next_windows(pointers: DataFrame, limit: int = READ_WINDOW) -> DataFrame:
+def next_windows(pointers: DataFrame, limit: int) -> DataFrame:
     """``queue, consumer, after, upto``: the ids ``(after, upto]`` each consumer reads
     next; equal bounds mean there is nothing to read."""
     upto = F.greatest("reader", F.least("writer", F.col("reader") + limit))
@@ -96,15 +96,12 @@ def confirmations(sent: DataFrame, acked: DataFrame) -> DataFrame:
 
 
 def pending_requests(
-    requests: DataFrame, replies: DataFrame, groups: DataFrame, limit: int
+    requests: DataFrame, replies: DataFrame, groups: DataFrame, limit: int | None = None
 ) -> DataFrame:
-    """The first ``limit`` unanswered requests of the listed groups, by
+    """The unanswered requests of the listed groups, all of them or the first ``limit`` by
     ``group_uuid, uuid``; replies carry both ids."""
     listed = groups.select("group_uuid").distinct()
     answered = replies.select("uuid", "group_uuid").distinct()
     waiting = attach(requests, cut(listed), ["group_uuid"], "left_semi", spread=["uuid"])
-    return (
-        waiting.join(answered, ["uuid", "group_uuid"], "left_anti")
-        .orderBy("group_uuid", "uuid")
-        .limit(limit)
-    )
+    open_ = waiting.join(answered, ["uuid", "group_uuid"], "left_anti")
+    return open_ if limit is None else open_.orderBy("group_uuid", "uuid").limit(limit)

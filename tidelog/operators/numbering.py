@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.schemas import READ_WINDOW
 from tidelog.session import work_path
 
 #: ``monotonically_increasing_id`` keeps the partition above these bits.
@@ -82,10 +81,10 @@ def ordered_positions(log: DataFrame) -> DataFrame:
     return ordered_log(dense_ids(log, ["id"], id_col="position"))
 
 
-def read_range(log: DataFrame, after: int, upto: int, limit: int = READ_WINDOW) -> DataFrame:
-    """Rows with ids in ``(after, min(upto, after + limit)]`` in id order; missing ids
-    are skipped, an empty window gives no rows."""
-    last = min(upto, after + limit)
+def read_range(log: DataFrame, after: int, upto: int, limit: int | None = None) -> DataFrame:
+    """Rows with ids in ``(after, upto]``, at most up to ``after + limit`` if a limit is
+    asked for, in id order; missing ids are skipped, an empty window gives no rows."""
+    last = upto if limit is None else min(upto, after + limit)
     return log.where((F.col("id") > after) & (F.col("id") <= last)).orderBy("id")
 
 

@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 NAME = re.compile(r"^\s*--\s*name:\s*(\S+)\s*$")
 #: A quoted text, a comment, or a placeholder.
 TOKEN = re.compile(r"('(?:[^'\\]|\\.|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/)|(\?)|(?<![:\w]):(\w+)", re.S)
-#: Lists longer than this are joined as a view instead of being spelled out.
-INLINE_LIST = 1000
 
 
 def parse_book(text: str) -> dict[str, str]:
@@ -50,11 +48,6 @@ def _bind(spark: SparkSession, text: str, args: tuple, named: dict[str, Any]) ->
             items = list(value)
             if not items:
                 raise ValueError("an empty list cannot be bound")
-            if len(items) > INLINE_LIST:
-                view = f"bound_list_{len(values)}_{id(items)}"
-                spark.createDataFrame([(v,) for v in items], ["v"]).createOrReplaceTempView(view)
-                values[view] = None
-                return f"SELECT v FROM {view}"
             return ", ".join(marker(v) for v in items)
         name = f"p{len(values)}"
         values[name] = value
@@ -76,7 +69,7 @@ def _bind(spark: SparkSession, text: str, args: tuple, named: dict[str, Any]) ->
     bound = TOKEN.sub(swap, text)
     if rest:
         raise ValueError("too many arguments")
-    return bound, {k: v for k, v in values.items() if not k.startswith("bound_list_")}
+    return bound, values
 
 
 def named_query(spark: SparkSession, book: dict[str, str], name: str, *args: Any, **named: Any) -> DataFrame:

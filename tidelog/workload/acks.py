@@ -112,7 +112,7 @@ def a5(spark, sf):
     f"greatest(reader, least(writer, reader + {READ_WINDOW})) AS upto FROM readers",
 )
 def o2(spark, sf):
-    return delivery.next_windows(event_pointers(spark, sf))
+    return delivery.next_windows(event_pointers(spark, sf), READ_WINDOW)
 
 
 @R.add(
@@ -126,7 +126,7 @@ def p2(spark, sf):
     acks = table(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("queue"), F.col("l_linestatus").alias("consumer"), (F.col("l_orderkey") + 1).alias("id")
     )
-    half = F.floor(F.max("id") / 2).cast("long").alias("ptr")
+    half = F.expr("max(id) div 2").alias("ptr")
     pointers = acks.where(F.col("queue") != "N").groupBy("queue", "consumer").agg(half)
     return delivery.drop_stale_acks(acks, pointers)
 
@@ -164,7 +164,7 @@ def j3(spark, sf):
 SELECT conv_id AS group_uuid, turn AS uuid FROM c q WHERE role = 'user'
   AND conv_id IN (SELECT doc_id FROM labels WHERE quality = 1)
   AND NOT EXISTS (SELECT 1 FROM c a WHERE a.role = 'assistant' AND a.conv_id = q.conv_id AND a.turn = q.turn + 1)
-ORDER BY conv_id, turn LIMIT 50""",
+""",
 )
 def j5(spark, sf):
     turns = table(spark, sf, "conversations")
@@ -173,4 +173,4 @@ def j5(spark, sf):
         F.col("conv_id").alias("group_uuid"), (F.col("turn") - 1).alias("uuid")
     )
     groups = table(spark, sf, "labels").where(F.col("quality") == 1).select(F.col("doc_id").alias("group_uuid"))
-    return delivery.pending_requests(requests, replies, groups, 50).select("group_uuid", "uuid")
+    return delivery.pending_requests(requests, replies, groups).select("group_uuid", "uuid")

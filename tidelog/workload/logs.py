@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import audit, numbering
 from tidelog.operators.delivery import where_ids
-from tidelog.schemas import READ_WINDOW
 from tidelog.session import work_path
 from tidelog.sources import log_table, pointers, publish
 from tidelog.workload import Registry
@@ -24,8 +23,7 @@ def s1(spark, sf):
 
 @R.add(
     "s2_log_read_range",
-    f"WITH {EVENTS_LOG} SELECT id, hex(data) AS data FROM log "
-    f"WHERE id > 0 AND id <= least((SELECT max(id) FROM log), {READ_WINDOW})",
+    f"WITH {EVENTS_LOG} SELECT id, hex(data) AS data FROM log WHERE id > 0",
 )
 def s2(spark, sf):
     log = events_log(spark, sf)
