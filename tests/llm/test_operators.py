@@ -249,3 +249,35 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     ids = {r["doc_id"] for r in rows}
     assert 0 < len(ids) < 200
+
+
+def test_token_counts(docs, small):
+    from tidelog.llm.queries import tokenizer_path
+    from tidelog.llm.token_counts import MARK, UNKNOWN, pieces, token_counts
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    scores, longest = pieces(path)
+    known = {}
+
+    def count(word):
+        if word not in known:
+            best = [(0.0, 0)]
+            for end in range(1, len(word) + 1):
+                ways = [(best[-1][0] + UNKNOWN, best[-1][1] - len(word[end - 1].encode()))]
+                ways += [
+                    (best[s][0] + scores[word[s:end]], best[s][1] - 1)
+                    for s in range(max(0, end - longest), end)
+                    if word[s:end] in scores
+                ]
+                best.append(max(ways))
+            known[word] = -best[-1][1]
+        return known[word]
+
+    for df in (docs, small.limit(40)):
+        df = df.select("doc_id", "text").cache()
+        want = Counter()
+        for i, text in texts(df):
+            own = [MARK + w.decode() for w in text.encode().split()]
+            want[(i, len(own), sum(map(count, own)))] += 1
+        assert Counter(map(tuple, token_counts(df, path).collect())) == want
+    assert token_counts(docs.limit(0), path).count() == 0

@@ -89,3 +89,10 @@ def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.nn_descent import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
+@R.add("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
