@@ -162,7 +162,7 @@ def set_incidence(sets: DataFrame, bits: int) -> DataFrame:
 
 def shared_sets(incidence: DataFrame, bits: int, percent: int) -> DataFrame:
     """``doc, n, tokens, dfs`` of the sets that have enough shingles which other rows have
-    too; the tokens are those shingles, in order of their document frequency."""
+    too; the tokens are numbers of those shingles, in order of their document frequency."""
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_range: dict[int, list[tuple[np.ndarray, ...]]] = {}
@@ -172,13 +172,17 @@ def shared_sets(incidence: DataFrame, bits: int, percent: int) -> DataFrame:
                 at = unpack(rows, np.uint32)
                 own = np.frombuffer(docs, np.int64)[at], np.frombuffer(sizes, np.uint32)[at], value
                 by_range.setdefault(key, []).append(own)
-        for parts in by_range.values():
+        for key, parts in by_range.items():
             doc, n, value = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((doc, value))
             doc, n, value = doc[order], n[order], value[order]
             starts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-            df = np.diff(np.append(starts, len(value)))
-            df = np.repeat(df, df)
+            times = np.diff(np.append(starts, len(value)))
+            df = np.repeat(times, times)
+            # A range is whole here: its shared shingles are numbered, which takes fewer bytes
+            # than their hashes do. The upper bits still name the range.
+            value = np.repeat((np.cumsum(times > 1) - 1).astype(np.uint64), times)
+            value |= np.uint64(key) << np.uint64(64 - bits)
             keep = df > 1
             for a in range(0, int(keep.sum()), 200_000):
                 at = np.flatnonzero(keep)[a : a + 200_000]
