@@ -3,11 +3,12 @@ texts can meet what belongs to them without a sort of the texts."""
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text of one block, about, in bytes, and the least number of blocks.
@@ -50,3 +51,10 @@ def unpacked(loads: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
         for load in chunk:
             with pa.ipc.open_stream(load.as_buffer()) as stream:
                 yield from stream
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are no longer held. It does so when
+    the driver's JVM collects them, which a driver with little to do puts off."""
+    gc.collect()
+    spark._jvm.System.gc()

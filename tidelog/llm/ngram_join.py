@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.arrays import ascii_words, batches_by, mixed, offsets_of, ranges, texts_of
+from tidelog.llm.blocks import release
 from tidelog.llm.bpe import blocks
 from tidelog.llm.components import connected_components
 from tidelog.llm.imatch import term_hashes
@@ -329,7 +330,10 @@ def ngram_links(docs: DataFrame, directory: DataFrame, words: int, percent: int,
     first = shared_sets(text_incidence(docs, words, bits, id_col, text_col), bits, percent)
     one_each = directory.where("doc = rep").select("doc")
     sets = cut(first.join(one_each, "doc", "left_semi").select("doc", "n", "tokens"))
+    del first
+    release(docs.sparkSession)
     sets = cut(shared_sets(set_incidence(sets, bits), bits, percent))
+    release(docs.sparkSession)
     # Shingles without another set come first in the order; of the rest, the prefix.
     own = F.col("n") - F.size("tokens")
     most = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("long") + 1 - own
