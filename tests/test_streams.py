@@ -78,6 +78,54 @@ def test_frontier_from_a_pointer(spark):
     assert [r["ptr"] for r in frontier.committed_pointers(spark, path, query).collect()] == [6]
 
 
+def test_frontier_restarts_with_a_newer_pointer(spark):
+    """Acks that wait are found again after a restart with moved pointers."""
+    acks, path, checkpoint = (work_path(spark, n) for n in ("acks", "state", "checkpoint"))
+
+    def go(rows, pointers):
+        add(spark, acks, rows, ACKS)
+        stream = spark.readStream.schema(ACKS).parquet(acks)
+        query = frontier.commit_pointers(frontier.stream_ack_frontier(stream, pointers), path, checkpoint, once=True)
+        query.awaitTermination()
+        return [tuple(r) for r in frontier.committed_pointers(spark, path, query).collect()]
+
+    nothing = spark.createDataFrame([], POINTERS)
+    assert go([("q", "c", i) for i in (1, 2, 4, 5)], nothing) == [("q", "c", 2)]
+    assert go([("q", "c", 3)], spark.createDataFrame([("q", "c", 2)], POINTERS)) == [("q", "c", 5)]
+    # past a block without acks, with one id missing in between
+    far = 3 * frontier.BLOCK_IDS + 7
+    moved = spark.createDataFrame([("q", "c", far)], POINTERS)
+    assert go([("q", "c", far + i) for i in (1, 3)], moved) == [("q", "c", far + 1)]
+
+
+def test_full_blocks_stay_full(spark, monkeypatch):
+    monkeypatch.setattr(frontier.block_state, "BLOCK_IDS", 16)
+    monkeypatch.setattr(frontier, "BLOCK_IDS", 16)
+    acks, path, checkpoint = (work_path(spark, n) for n in ("acks", "state", "checkpoint"))
+    for rows, want in [(range(1, 17), 16), ((3, 16, 18), 16), ((17, 1), 18)]:
+        add(spark, acks, [("q", "c", i) for i in rows], ACKS)
+        stream = spark.readStream.schema(ACKS).parquet(acks)
+        query = frontier.commit_pointers(frontier.stream_ack_frontier(stream), path, checkpoint, once=True)
+        query.awaitTermination()
+        assert [r["ptr"] for r in frontier.committed_pointers(spark, path, query).collect()] == [want]
+
+
+def test_another_checkpoint_keeps_what_is_published(spark):
+    """A publisher with a new checkpoint goes on after the stored pointer."""
+    path, pointer_path = work_path(spark, "log"), work_path(spark, "pointers")
+    schema = packets(spark, 0, 1).schema
+    for low, high in ((0, 20), (20, 25)):
+        source = work_path(spark, "in")
+        packets(spark, low, high).coalesce(1).write.parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        checkpoint = work_path(spark, "checkpoint")
+        receive.publish_stream(stream, path, pointer_path, "q", "k", checkpoint, once=True).awaitTermination()
+    for log in (receive.published_log(spark, path), receive.published_log(spark, path, pointer_path=pointer_path)):
+        stored = sorted((r["id"], bytes(r["data"]).decode()) for r in log.collect())
+        assert stored == [(i, str(i - 1)) for i in range(1, 26)]
+    assert [r["ptr"] for r in load_pointers(spark, pointer_path, 1).collect()] == [25]
+
+
 def test_publishing_continues_and_replays(spark):
     source, path, pointer_path, checkpoint = (work_path(spark, n) for n in ("in", "log", "pointers", "checkpoint"))
     schema = packets(spark, 0, 1).schema
@@ -98,11 +146,12 @@ def test_throughput_equals_batch(spark):
     rows = [(datetime.datetime(2024, 1, 1, 0, 0, s // 3), bytes(s % 4), s // 5) for s in range(60)]
     schema = "ts timestamp, data binary, batch long"
     source, out, checkpoint = (work_path(spark, n) for n in ("in", "out", "checkpoint"))
-    for part in (rows[:20], rows[20:]):
+    # hours later first: rows of any age count
+    rows += [(datetime.datetime(2024, 1, 1, 5, 0, s), b"xy", 90 + s // 2) for s in range(9)]
+    for part in (rows[60:], rows[22:60], rows[:22]):
         add(spark, source, part, schema)
     stream = spark.readStream.schema(spark.createDataFrame(rows, schema).schema).option("maxFilesPerTrigger", 1).parquet(source)
-    rates = throughput.stream_throughput(stream, "ts", "5 seconds")
-    throughput.save_throughput(rates, out, checkpoint, once=True).awaitTermination()
-    newest = throughput.load_throughput(spark.read.parquet(out)).collect()
-    want = batch_throughput(spark.createDataFrame(rows, schema), "ts", "5 seconds").drop("mean_batch").collect()
+    throughput.save_throughput(stream, out, checkpoint, "ts", "5 seconds", once=True).awaitTermination()
+    newest = throughput.load_throughput(spark.read.schema(throughput.RATES).parquet(out)).collect()
+    want = batch_throughput(spark.createDataFrame(rows, schema), "ts", "5 seconds").collect()
     assert sorted(map(tuple, newest)) == sorted(map(tuple, want))

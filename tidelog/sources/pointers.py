@@ -38,6 +38,17 @@ def has_version(spark: SparkSession, path: str, version: int) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
+def newest_version(spark: SparkSession, path: str) -> int:
+    """The last snapshot that was written to its end, or -1."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return -1
+    names = [status.getPath().getName() for status in files.listStatus(root)]
+    versions = sorted((int(n.partition("=")[2]) for n in names if n.startswith("version=")), reverse=True)
+    return next((v for v in versions if has_version(spark, path, v)), -1)
+
+
 def load_pointers(spark: SparkSession, path: str, version: int) -> DataFrame:
     """A snapshot, or no rows when there is none."""
     if version < 0 or not has_version(spark, path, version):

@@ -33,13 +33,15 @@ PROGRESS = T.StructType(
         T.StructField("acked", T.LongType()),
     ]
 )
+BLOCK = ["queue", "consumer", "block"]
 
 
 def stream_ack_frontier(acks: DataFrame, pointers: DataFrame | None = None) -> DataFrame:
-    """Progress per ``queue, consumer, start, block``: ``prefix`` ids of the block are
-    acked without a hole, ``acked`` in all. Ids count from the consumer's pointer at
-    stream start; acks at or below it are late and dropped, repeated ones change
-    nothing, early ones wait in the state."""
+    """Progress per ``queue, consumer, block``: ``prefix`` ids of the block are acked
+    without a hole, ``acked`` in all. Ids up to the consumer's pointer ``start`` count as
+    acked; acks at or below it are late and dropped, repeated ones change nothing, early
+    ones wait in the state. Blocks do not depend on the pointers, so a restart with newer
+    ones finds the acks that wait; an older one takes nothing back."""
     spark = acks.sparkSession
     # the state driver does not see shipped packages: the processor travels by value
     cloudpickle.register_pickle_by_value(block_state)
@@ -54,39 +56,38 @@ def stream_ack_frontier(acks: DataFrame, pointers: DataFrame | None = None) -> D
         starts = pointers.select("queue", "consumer", F.col("ptr").alias("start"))
         based = based.join(starts, ["queue", "consumer"], "left")
         based = based.withColumn("start", F.coalesce("start", F.lit(0).cast("long")))
-    offset = F.col("id") - F.col("start") - 1
-    placed = based.where(offset >= 0).select(
+    offset = F.col("id") - 1
+    placed = based.where(F.col("id") > F.col("start")).select(
         "queue",
         "consumer",
         "start",
         floor_div(offset, BLOCK_IDS).alias("block"),
         F.pmod(offset, F.lit(BLOCK_IDS)).cast("int").alias("place"),
     )
-    return placed.groupBy("queue", "consumer", "start", "block").transformWithStateInPandas(
-        BlockAcks(), PROGRESS, "update", "none"
-    )
+    return placed.groupBy(*BLOCK).transformWithStateInPandas(BlockAcks(), PROGRESS, "update", "none")
 
 
 def merge_progress(open_blocks: DataFrame, updates: DataFrame, pointers: DataFrame) -> DataFrame:
-    """``queue, consumer, start, ptr``: frontiers after the updates. Blocks only grow, so
-    the larger prefix is the newer one; a run of full blocks moves the pointer on."""
-    names = ["queue", "consumer", "start"]
-    blocks = open_blocks.unionByName(updates.select(*names, "block", "prefix"))
-    blocks = blocks.groupBy(*names, "block").agg(F.max("prefix").alias("prefix"))
-    passed = pointers.select(*names, floor_div(F.col("ptr") - F.col("start"), BLOCK_IDS).alias("_passed"))
-    known = blocks.join(passed, names, "left").withColumn("_passed", F.coalesce("_passed", F.lit(0).cast("long")))
+    """``queue, consumer, ptr``: frontiers after the updates. Blocks only grow, so the
+    larger prefix is the newer one; a run of full blocks moves the pointer on, and it is
+    never below the pointer before or the one the stream started from."""
+    names = ["queue", "consumer"]
+    blocks = open_blocks.unionByName(updates.select(OPEN.names))
+    blocks = blocks.groupBy(*BLOCK).agg(F.max("prefix").alias("prefix"), F.max("start").alias("start"))
+    starts = blocks.select(*names, F.col("start").alias("ptr")).unionByName(pointers.select(*names, "ptr"))
+    base = starts.groupBy(*names).agg(F.max("ptr").alias("_base"))
+    known = blocks.join(base, names).withColumn("_passed", floor_div(F.col("_base"), BLOCK_IDS))
     # a block that is not full shows up as a stale ack, so its consumer stays in the result
     number = F.when(F.col("prefix") == BLOCK_IDS, F.col("block") + 1).otherwise(F.lit(0))
     lead = ack_frontier(known.withColumn("_number", number), names, "_passed", "_number")
     reached = blocks.select(*names, F.col("block").alias("frontier"), "prefix")
-    return lead.join(reached, [*names, "frontier"], "left").select(
-        *names,
-        (F.col("start") + F.col("frontier") * BLOCK_IDS + F.coalesce("prefix", F.lit(0))).alias("ptr"),
-    )
+    ptr = F.greatest(F.col("frontier") * BLOCK_IDS + F.coalesce("prefix", F.lit(0)), "_base")
+    lead = lead.join(reached, [*names, "frontier"], "left").join(base, names)
+    return lead.select(*names, ptr.alias("ptr"))
 
 
 OPEN = T.StructType([f for f in PROGRESS.fields if f.name != "acked"])
-FRONTIERS = T.StructType([*PROGRESS.fields[:3], T.StructField("ptr", T.LongType())])
+FRONTIERS = T.StructType([*PROGRESS.fields[:2], T.StructField("ptr", T.LongType())])
 
 
 def commit_pointers(
@@ -110,7 +111,7 @@ def commit_pointers(
         updates = cut(batch)
         if sink is not None:
             sink(updates, batch_id)
-        names = ["queue", "consumer", "start"]
+        names = ["queue", "consumer"]
         open_before = table("blocks", batch_id - 1, OPEN)
         before = table("frontiers", batch_id - 1, FRONTIERS)
         merged = merge_progress(open_before, updates, before)
@@ -119,11 +120,11 @@ def commit_pointers(
         )
         after.write.mode("overwrite").parquet(f"{path}/frontiers/version={batch_id}")
         moved = table("frontiers", batch_id, FRONTIERS)
-        passed = floor_div(F.col("ptr") - F.col("start"), BLOCK_IDS)
+        passed = floor_div(F.col("ptr"), BLOCK_IDS)
         still_open = (
             open_before.unionByName(updates.select(OPEN.names))
-            .groupBy(*names, "block")
-            .agg(F.max("prefix").alias("prefix"))
+            .groupBy(*BLOCK)
+            .agg(F.max("prefix").alias("prefix"), F.max("start").alias("start"))
             .join(moved, names, "left")
             .where(F.col("block") >= F.coalesce(passed, F.lit(0)))
             .select(OPEN.names)

@@ -41,7 +41,9 @@ def _acks(spark, sf):
 
 @R.add(
     "t2_stream_ack_frontier",
-    f"WITH {ORDER_ACKS} SELECT queue, consumer, (id - 1) // {frontier.BLOCK_IDS} AS block, count(DISTINCT id) AS acked FROM acks GROUP BY 1, 2, 3",
+    f"""WITH {ORDER_ACKS}, places AS (SELECT DISTINCT queue, consumer, (id - 1) // {frontier.BLOCK_IDS} AS block, (id - 1) % {frontier.BLOCK_IDS} + 1 AS place FROM acks),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY queue, consumer, block ORDER BY place) AS rn FROM places)
+SELECT queue, consumer, block, coalesce(max(place) FILTER (WHERE place = rn), 0) AS prefix, count(*) AS acked FROM numbered GROUP BY 1, 2, 3""",
 )
 def t2(spark, sf):
     out, checkpoint = work_path(spark, "progress"), work_path(spark, "checkpoint")
@@ -53,7 +55,7 @@ def t2(spark, sf):
     receive.run(progress, keep, checkpoint, mode="update", once=True).awaitTermination()
     schema = T.StructType([*frontier.PROGRESS.fields, T.StructField("batch_id", T.LongType())])
     stored = spark.read.schema(schema).parquet(out)
-    return stored.groupBy("queue", "consumer", "block").agg(F.max("acked").alias("acked"))
+    return stored.groupBy("queue", "consumer", "block").agg(F.max("prefix").alias("prefix"), F.max("acked").alias("acked"))
 
 
 @R.add(
@@ -91,13 +93,11 @@ def t4(spark, sf):
 @R.add(
     "t5_stream_throughput",
     f"""WITH {EVENTS_LOG} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS packets,
-  CAST(sum(strlen(data)) AS BIGINT) AS bytes FROM log GROUP BY 1""",
+  CAST(sum(strlen(data)) AS BIGINT) AS bytes, count(*) / count(DISTINCT batch) AS mean_batch FROM log GROUP BY 1""",
 )
 def t5(spark, sf):
     out, checkpoint = work_path(spark, "rates"), work_path(spark, "checkpoint")
-    stream = stream_of(spark, sf, "events").select("ts", text_bytes("props").alias("data"))
-    rates = throughput.stream_throughput(stream, "ts", "1 hour")
-    throughput.save_throughput(rates, out, checkpoint, once=True).awaitTermination()
-    schema = T.StructType([*rates.schema.fields, T.StructField("batch_id", T.LongType())])
-    newest = throughput.load_throughput(spark.read.schema(schema).parquet(out))
-    return newest.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+    stream = stream_of(spark, sf, "events").select("ts", text_bytes("props").alias("data"), F.expr("event_id div 100").alias("batch"))
+    throughput.save_throughput(stream, out, checkpoint, "ts", "1 hour", once=True).awaitTermination()
+    rates = throughput.load_throughput(spark.read.schema(throughput.RATES).parquet(out))
+    return rates.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
