@@ -43,6 +43,13 @@ TIMES = {
 }
 
 
+def test_padded_durations(spark):
+    texts = ["0" * 40 + "1h", "-" + "0" * 40 + "2.5s", "0" * 40 + "7", "0" * 40 + "s", "9" * 40 + "h"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    found = [r["t_ns"] for r in typed_columns(df, {"t": "duration"}).collect()]
+    assert found == [3_600_000_000_000, -2_500_000_000, 7, 0, None]
+
+
 def test_durations(spark):
     df = spark.createDataFrame([(t,) for t in [*DURATIONS, None]], "t string")
     for r in typed_columns(df, {"t": "duration"}).collect():

@@ -231,6 +231,17 @@ def test_scan_and_census(spark):
     assert {(r["field_no"], r["drift"]) for r in drift} == {(1, "wire_type"), (2, "unknown")}
 
 
+def test_broken_payloads_are_counted(spark):
+    rows = [(1, bytearray.fromhex("0801")), (2, bytearray.fromhex("080112050876")), (3, None), (4, bytearray())]
+    df = spark.createDataFrame(rows, "id long, data binary")
+    found = [(r["id"], r["field_no"], r["_error"] is not None) for r in wire_scan(df, "data").collect()]
+    assert sorted(found) == [(1, 1, False), (2, None, True)]
+    census = field_census(df, "data")
+    assert {(r["field_no"], r["occurrences"], r["messages"], r["bytes"]) for r in census.collect()} == {(1, 1, 1, 1), (None, 0, 1, 0)}
+    drift = schema_drift(census, Message("m", (Field(1, "a", "int32"),))).collect()
+    assert [(r["field_no"], r["drift"], r["messages"]) for r in drift] == [(None, "broken", 1)]
+
+
 def test_projection_skips_other_fields(spark):
     message = Message("m", (Field(1, "a", "int32"), Field(2, "n", NESTED)))
     # the submessage is broken inside, but it is not asked for

@@ -36,6 +36,7 @@ def duration_nanos(text: Column) -> Column:
 
     def part(n: Column, u: Column) -> Column:
         whole = F.coalesce(F.nullif(F.substring_index(n, ".", 1), F.lit("")), F.lit("0"))
+        whole = F.regexp_replace(whole, "^0+(?=[0-9])", "")
         digits = F.when(F.contains(n, F.lit(".")), F.substring_index(n, ".", -1)).otherwise(F.lit(""))
         scale = F.element_at(unit, u).cast("decimal(14,0)")
         fraction = F.concat(F.lit("0."), F.substring(digits, 1, 18), F.lit("0")).cast("decimal(19,19)")

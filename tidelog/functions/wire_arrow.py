@@ -350,15 +350,17 @@ OCCURRENCE = pa.struct(
 )
 
 
-def scan_batch(column: pa.Array) -> pa.Array:
-    """Per payload the list of its field occurrences; a broken payload gives null."""
+def scan_batch(column: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Per payload the list of its field occurrences and its error text; a broken payload
+    has no list."""
     batch = Batch(column)
     rows = len(column)
     steps = list(walk(batch, batch.starts, batch.ends, np.arange(rows)))
     bad = ~batch.valid | ~np.equal(batch.errors, None).astype(bool)
+    errors = pa.array(batch.errors, pa.string())
     if not steps:
         nothing = pa.array(np.zeros(rows + 1, np.int32), mask=np.concatenate([bad, [False]]))
-        return pa.ListArray.from_arrays(nothing, pa.nulls(0, OCCURRENCE))
+        return pa.ListArray.from_arrays(nothing, pa.nulls(0, OCCURRENCE)), errors
     found = _gather(steps)
     found = found.take(~bad[found.rows])
     found, offsets = _in_rows(found, rows)
@@ -375,4 +377,4 @@ def scan_batch(column: pa.Array) -> pa.Array:
         fields=list(OCCURRENCE),
     )
     marks = pa.array(offsets.to_numpy(), mask=np.concatenate([bad, [False]]))
-    return pa.ListArray.from_arrays(marks, items)
+    return pa.ListArray.from_arrays(marks, items), errors

@@ -81,22 +81,28 @@ def unpack_sourced(df: DataFrame, col: str = "data") -> DataFrame:
 
 def wire_scan(df: DataFrame, col: str, depth: int = 1) -> DataFrame:
     """One row per field occurrence: ``path, field_no, wire_type, nth, pos, len, raw``
-    next to the columns of ``df``. ``nth`` counts a field within its payload. With more
-    ``depth``, length-delimited values that read as payloads are scanned as well."""
+    next to the columns of ``df``. ``nth`` counts a field within its payload. A broken
+    payload is one row with ``_error`` and no field. With more ``depth``, length-delimited
+    values that read as payloads are scanned as well."""
     ship(df.sparkSession)
+    result_type = T.StructType([T.StructField("found", OCCURRENCES), T.StructField("error", T.StringType())])
 
-    @F.arrow_udf(OCCURRENCES)
+    @F.arrow_udf(result_type)
     def scan(payload: pa.Array) -> pa.Array:
-        return scan_batch(payload)
+        found, errors = scan_batch(payload)
+        return pa.StructArray.from_arrays([found, errors], names=["found", "error"])
 
-    kept = [c for c in df.columns if c != col]
-    found = df.select(*kept, F.inline(scan(F.col(col))))
+    kept = [c for c in df.columns if c not in (col, "_error")]
+    scanned = df.select(*kept, scan(F.col(col)).alias("_scan"))
+    found = scanned.select(*kept, F.col("_scan.error").alias("_error"), F.inline_outer("_scan.found"))
+    found = found.where(F.col("field_no").isNotNull() | F.col("_error").isNotNull())
     level = found.withColumn("path", F.col("field_no").cast("string"))
-    columns = [*kept, "path", "field_no", "wire_type", "nth", "pos", "len", "raw"]
+    columns = [*kept, "path", "field_no", "wire_type", "nth", "pos", "len", "raw", "_error"]
     result = level.select(*columns)
     for _ in range(depth - 1):
         nested = level.where((F.col("wire_type") == BYTES) & (F.col("len") > 0))
-        nested = nested.select(*kept, F.col("path").alias("_up"), F.inline(scan(F.col("raw"))))
+        nested = nested.select(*kept, "_error", F.col("path").alias("_up"), scan(F.col("raw")).alias("_scan"))
+        nested = nested.select(*kept, "_error", "_up", F.inline("_scan.found"))
         level = nested.withColumn("path", F.concat_ws(".", "_up", F.col("field_no").cast("string")))
         result = result.unionByName(level.select(*columns))
     return result
@@ -104,21 +110,22 @@ def wire_scan(df: DataFrame, col: str, depth: int = 1) -> DataFrame:
 
 def field_census(df: DataFrame, col: str) -> DataFrame:
     """``field_no, wire_type, occurrences, messages, bytes`` of a corpus. A payload's
-    first occurrence of a field counts the payload, so nothing has to be made distinct."""
+    first occurrence of a field counts the payload, so nothing has to be made distinct.
+    Broken payloads are the ``messages`` of a row without a field."""
     return (
         wire_scan(df.select(col), col)
         .groupBy("field_no", "wire_type")
         .agg(
-            F.count(F.lit(1)).alias("occurrences"),
-            F.count_if(F.col("nth") == 1).alias("messages"),
-            F.sum(F.col("len").cast("long")).alias("bytes"),
+            F.count("field_no").alias("occurrences"),
+            F.count_if((F.col("nth") == 1) | F.col("_error").isNotNull()).alias("messages"),
+            F.coalesce(F.sum(F.col("len").cast("long")), F.lit(0)).alias("bytes"),
         )
     )
 
 
 def schema_drift(census: DataFrame, message: Message) -> DataFrame:
-    """Census rows that do not fit the declared fields: ``unknown`` numbers and
-    ``wire_type`` mismatches (a packed block is fine for a list of numbers)."""
+    """Census rows that do not fit the declared fields: ``unknown`` numbers, ``wire_type``
+    mismatches (a packed block is fine for a list of numbers) and ``broken`` payloads."""
     wires = {VARINT: "varint", FIXED64: "fixed64", BYTES: "bytes", FIXED32: "fixed32"}
     declared = []
     for f in message.fields:
@@ -129,7 +136,7 @@ def schema_drift(census: DataFrame, message: Message) -> DataFrame:
     )
     seen = census.join(F.broadcast(known), "field_no", "left")
     fits = (F.col("wire_type") == F.col("declared")) | (F.col("packs") & (F.col("wire_type") == BYTES))
-    drift = F.when(F.col("declared").isNull(), "unknown").when(~fits, "wire_type")
+    drift = F.when(F.col("field_no").isNull(), "broken").when(F.col("declared").isNull(), "unknown").when(~fits, "wire_type")
     return (
         seen.withColumn("drift", drift)
         .where(F.col("drift").isNotNull())
