@@ -78,7 +78,7 @@ def event_pointers(spark, sf):
     names = regions.first()["regions"]
     options = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("key")) for n, k in names])
     readers = last.select("queue", "last", F.explode(options).alias("r")).select(
-        "queue", F.col("r.name").alias("consumer"), F.floor(F.col("last") * F.col("r.key") / 4).cast("long").alias("ptr")
+        "queue", F.col("r.name").alias("consumer"), F.expr("last * r.key div 4").alias("ptr")
     )
     return writers.unionByName(readers)
 
