@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.llm.blocks import release
 from tidelog.llm.stages import (
     best_fit_packing_stage,
     ngram_jaccard_stage,
@@ -31,10 +32,12 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole ``documents`` table. Each result is written as Parquet to
-    the shared folder and read again, so a lost executor repeats one stage at most."""
+    the shared folder and read again, so a lost executor repeats one stage at most and the
+    shuffles of a stage can go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = work_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        release(spark)
     return docs
