@@ -32,7 +32,7 @@ from tidelog.session import ship
 
 DEGREE = 30
 SAMPLE = 15
-ROUNDS = 8
+ROUNDS = 6
 BEAM = 200
 EXPAND = 40
 HOPS = 6
@@ -40,7 +40,7 @@ HOPS = 6
 MEET = 6
 TOLD = 40
 #: Nodes whose local joins one task computes, and queries whose steps it scores.
-BLOCK_NODES = 8192
+BLOCK_NODES = 4096
 BLOCK_QUERIES = 256
 #: Ids that a node keeps of its equal vectors: the wanted ones, and the query's own.
 SPARE = 1
@@ -145,7 +145,7 @@ def initial(nodes: DataFrame, width: int, degree: int) -> DataFrame:
     return best(links, "a", "b", degree)
 
 
-def local_joins(graph: DataFrame, nodes: DataFrame, blocks: int, sample: int, turn: int) -> DataFrame:
+def local_joins(graph: DataFrame, nodes: DataFrame, blocks: int, degree: int, sample: int, turn: int) -> DataFrame:
     """``a, b, score, fresh``: for each node, what its neighbours are to each other."""
     forward = graph.select(F.col("a").alias("at"), F.col("b").alias("node"), "fresh")
     backward = graph.select(F.col("b").alias("at"), F.col("a").alias("node"), "fresh")
@@ -163,6 +163,7 @@ def local_joins(graph: DataFrame, nodes: DataFrame, blocks: int, sample: int, tu
         at, node, fresh = at[order], node[order], fresh[order] > 0
         known, values = vectors_of(right)
         place = np.searchsorted(known, node)
+        floor = right.column("floor").to_numpy()[np.argsort(right.column("node").to_numpy())]
         edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])) if len(at) else np.zeros(1, int)
         out: list[list[np.ndarray]] = [[], [], []]
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -177,7 +178,7 @@ def local_joins(graph: DataFrame, nodes: DataFrame, blocks: int, sample: int, tu
             k = min(MEET, e - s - 1)
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
             score = np.take_along_axis(cosine, near, 1)
-            good = score > -2
+            good = score > floor[place[s:e]][:, None]
             out[0].append(np.repeat(node[s:e], k)[good.ravel()])
             out[1].append(node[s:e][near][good])
             out[2].append(score[good])
@@ -186,7 +187,12 @@ def local_joins(graph: DataFrame, nodes: DataFrame, blocks: int, sample: int, tu
 
     meets = stored(meets, "meets")
     needed = meets.select(F.col("block").alias("to"), F.col("node").alias("node_")).distinct()
-    vectors = nodes.select("node", short_vector()).join(needed, F.col("node") == F.col("node_")).select("to", "node", "vector")
+    # A node whose list is full is told only of nodes that are nearer than its last one.
+    last = graph.groupBy("a").agg(F.min("score").alias("least"), F.count("*").alias("links"))
+    floor = F.when(F.col("links") >= degree, F.col("least")).otherwise(-2.0).alias("floor")
+    known = nodes.select("node", short_vector()).join(last.select(F.col("a").alias("node"), floor), "node", "left")
+    known = known.na.fill(-2.0, ["floor"])
+    vectors = known.join(needed, F.col("node") == F.col("node_")).select("to", "node", "vector", "floor")
     return meets.groupBy("block").cogroup(vectors.groupBy("to")).applyInArrow(run, LINKS)
 
 
@@ -227,7 +233,7 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, sample: int = SAMPLE
     total = nodes.count()
     blocks = max(1, -(-total // BLOCK_NODES))
     for turn in range(rounds):
-        found = local_joins(graph, nodes, blocks, sample, turn)
+        found = local_joins(graph, nodes, blocks, degree, sample, turn)
         old = graph.withColumn("fresh", F.lit(0))
         graph = stored(best(old.unionByName(found), "a", "b", degree), "graph")
         if graph.agg(F.sum("fresh")).first()[0] < 0.005 * degree * total:
