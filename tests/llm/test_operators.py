@@ -214,6 +214,28 @@ def test_nearest(spark):
     assert nearest(df.limit(0), "vec_id % 50 = 0").count() == 0
 
 
+@pytest.mark.parametrize("distinct", [1, 2, 6, 17, 24, 60])
+def test_nearest_of_few_vectors(spark, distinct):
+    """Every query gets all candidates if there are fewer than it wants, and the right ones."""
+    from tidelog.llm.nn_descent import nearest
+
+    rng = np.random.default_rng(distinct)
+    vectors = rng.normal(size=(distinct, 8))
+    # One vector alone stands for a table whose rows are all equal.
+    rows = [(i, vectors[i % distinct].tolist()) for i in range(9 if distinct == 1 else distinct)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, "vec_id % 3 = 0").orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    unit = np.array([v for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for q in range(0, len(rows), 3):
+        cosine = np.round(unit @ unit[q], 12)
+        cosine[q] = -9
+        want = np.lexsort((np.arange(len(rows)), -cosine))[: min(5, len(rows) - 1)].tolist()
+        assert got.get(q, []) == want
+
+
 def test_pii(docs, small):
     from tidelog.llm.pii import fit_pii, pii_spans
 

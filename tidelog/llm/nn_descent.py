@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by cosine: NN-descent and greedy graph search.
 
 Equal vectors are one node, known by its smallest ids, so a very common vector costs nothing.
-The graph starts with random neighbours and with neighbours along random directions. In each
+The graph starts with random neighbours (along a ring of all nodes in random order, so that all
+nodes hang together) and with neighbours along random directions; up to ``degree`` + 1 nodes
+all meet each other. In each
 round a node's neighbours, in both directions, meet in a local join: they are compared with
 each other, and each keeps the nearest it has seen. Neighbour lists are bounded by ``degree``
 and a node takes part in at most ``reverse`` local joins of others per round as a reverse
@@ -39,6 +41,9 @@ HOPS = 6
 #: What one node of a local join tells another one, and what is passed on for each node.
 MEET = 6
 TOLD = 40
+#: Random links that a node starts with in each direction, and entry points of every search.
+RANDOM = 4
+ENTRIES = 16
 #: Nodes whose local joins one task computes, and queries whose steps it scores.
 BLOCK_NODES = 4096
 BLOCK_QUERIES = 256
@@ -118,10 +123,11 @@ def unit(values: np.ndarray) -> np.ndarray:
 
 def initial(nodes: DataFrame, width: int, degree: int) -> DataFrame:
     """``a, b, score, fresh``: links along a few random directions: nodes are sorted into
-    ranges by their projection, and each meets the next ones of its range."""
+    ranges by their projection, and each meets the next ones of its range; and random links,
+    which also join the ranges."""
     step = max(2, degree // 4)
     rng = np.random.default_rng(7)
-    links = None
+    links = random_links(nodes, degree)
     for _ in range(4):
         direction = rng.normal(size=width).tolist()
         along = F.aggregate(
@@ -141,10 +147,43 @@ def initial(nodes: DataFrame, width: int, degree: int) -> DataFrame:
 
         ranged = nodes.select("node", "vector", along.alias("along")).repartitionByRange(16, "along").sortWithinPartitions("along")
         own = ranged.select("node", "vector").mapInArrow(run, "a long, b long, score double, fresh int")
-        links = own if links is None else links.unionByName(own)
+        links = links.unionByName(own)
     return best(links, "a", "b", degree)
 
 
+def random_links(nodes: DataFrame, degree: int) -> DataFrame:
+    """``a, b, score, fresh``: all nodes stand on a ring in random order, and each meets the
+    next one and a few at random distances; all others if they are ``degree`` at most."""
+    placed = nodes.select("node", short_vector()).repartition("node").sortWithinPartitions(F.xxhash64("node", F.lit(11)))
+    own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = stored(placed.select(F.spark_partition_id().alias("part"), own.alias("own"), "node", "vector"), "ring")
+    sizes = sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect())  # a row per partition
+    before = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    total = before.pop()
+    if total <= degree + 1:
+        shifts = list(range(1, total))
+    else:
+        shifts = sorted({1, *np.random.default_rng(11).integers(2, total, RANDOM - 1).tolist()})
+    offsets = nodes.sparkSession.createDataFrame(
+        [(part, n) for (part, _), n in zip(sizes, before, strict=True)], "part int, before long"
+    )
+    placed = placed.join(F.broadcast(offsets), "part").select((F.col("own") + F.col("before")).alias("place"), "node", "vector")
+    ahead = F.explode(F.array(*map(F.lit, shifts)).cast("array<long>"))
+    left = placed.select("place", ahead.alias("shift"), F.col("node").alias("a"), F.col("vector").alias("left"))
+    left = left.withColumn("place", F.pmod(F.col("place") + F.col("shift"), F.lit(total))).drop("shift")
+    pairs = left.join(placed, "place").select("a", F.col("node").alias("b"), "left", "vector")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x, y = (unit(matrix(batch.column(i)).astype(float)) for i in (2, 3))
+                score, ones = pa.array(np.einsum("ij,ij->i", x, y)), pa.array(np.ones(len(batch)), pa.int32())
+                for a, b in ((0, 1), (1, 0)):
+                    yield pa.RecordBatch.from_arrays([batch.column(a), batch.column(b), score, ones], ["a", "b", "score", "fresh"])
+
+    return pairs.mapInArrow(run, LINKS)
+
+
 def local_joins(graph: DataFrame, nodes: DataFrame, blocks: int, degree: int, sample: int, turn: int) -> DataFrame:
     """``a, b, score, fresh``: for each node, what its neighbours are to each other."""
     forward = graph.select(F.col("a").alias("at"), F.col("b").alias("node"), "fresh")
@@ -231,12 +270,14 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, sample: int = SAMPLE
     first = nodes.first()
     graph = stored(initial(nodes, len(first["vector"]), degree), "graph")
     total = nodes.count()
+    if total <= degree + 1:  # all links are there
+        return graph
     blocks = max(1, -(-total // BLOCK_NODES))
     for turn in range(rounds):
         found = local_joins(graph, nodes, blocks, degree, sample, turn)
         old = graph.withColumn("fresh", F.lit(0))
         graph = stored(best(old.unionByName(found), "a", "b", degree), "graph")
-        if graph.agg(F.sum("fresh")).first()[0] < 0.005 * degree * total:
+        if (graph.agg(F.sum("fresh")).first()[0] or 0) < 0.005 * degree * total:
             break
     return graph
 
@@ -250,7 +291,8 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int, ex
     adjacent = graph.groupBy("a").agg(F.collect_list("b").alias("nodes"))  # of bounded length
     start = graph.select(F.col("a").alias("query"), F.col("b").alias("node"), "score")
     start = start.join(asked, "query").withColumn("fresh", F.lit(1))
-    state = stored(start.select("query", "node", "score", "fresh"), "beam")
+    start = start.select("query", "node", "score", "fresh").unionByName(entries(queries, nodes))
+    state = stored(best(start, "query", "node", beam), "beam")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         query, node = left.column("query").to_numpy(), left.column("node").to_numpy()
@@ -281,6 +323,25 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int, ex
     return state
 
 
+def entries(queries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``query, node, score, fresh``: every query and the same few random nodes."""
+    picked = nodes.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(ENTRIES).select("node", "vector").collect()
+    ids = np.array([r["node"] for r in picked], np.int64)
+    values = unit(np.array([r["vector"] for r in picked], float))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                query = np.repeat(batch.column(0).to_numpy(), len(ids))
+                node = np.tile(ids, len(batch))
+                score = (unit(matrix(batch.column(1))) @ values.T).ravel()
+                other = query != node
+                columns = [pa.array(x[other]) for x in (query, node, score, np.ones(len(query), np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["query", "node", "score", "fresh"])
+
+    return queries.select("node", "vector").mapInArrow(run, "query long, node long, score double, fresh int")
+
+
 def nearest(
     vectors: DataFrame,
     is_query,
