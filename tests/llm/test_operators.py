@@ -140,6 +140,25 @@ def test_disguised_words_are_restored():
     assert not disguised("plain") and not disguised("plain,")
 
 
+def test_spaced_words_reach_the_decoder_whole():
+    from tidelog.llm.toxicity import CODES, SIZE, Scorer, ToxicityModel
+
+    counts = np.zeros(SIZE**3, np.int64)
+    prose = np.random.default_rng(1).permutation(["idiot", "stupid", "scum", "the", "and", "other", "a", "as"] * 50)
+    code = [0, 0, *(CODES.get(c, 0) for c in " ".join(prose)), 0, 0]
+    for a, b, c in zip(code, code[1:], code[2:], strict=False):
+        counts[(a * SIZE + b) * SIZE + c] += 1
+    scorer = Scorer(ToxicityModel(counts, {"scum": 5.0, "idiot": 5.0, "stupid": 5.0}, 1.0, 0.0))
+    for text in (
+        "s c u m", "what s c u m.", "s c u m, go", "(s c u m)", "( s c u m )", '"s.c.u.m"', "S C U M !", "i d ! 0 t",
+        "$ c u m", "you $ c u m!", "a s t u p i d man", "such a s c u m", "s_c_u_m?", "s c * m", "i a s t u p i d",
+    ):
+        assert scorer.evidence(text) == 5.0, text
+    assert scorer.evidence("s t u p i d  i d i o t") == 10.0
+    for text in ("the other and 1 2 3 4", "* * *", "| | | |", "a b c", "- - -", "other " * 9):
+        assert scorer.evidence(text) == 0.0, text
+
+
 def brute_kept(rows, length):
     data = [t.encode() for _, t in rows]
     seen = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))

@@ -4,7 +4,9 @@ a classifier scores the restored text.
 The channel writes a letter as itself, as a look-alike (``LOOKS``), several times, or with a
 separator behind it. A disguised word is the lattice of all letters that its characters can
 stand for; Viterbi finds the path with the best sum of channel costs and the log probability
-of the letters under a trigram model. The trigram model counts the letters of all texts; its
+of the letters under a trigram model. Single characters in a row are one lattice, in which a
+space may also be the end of a word, read too without its first and last ones, which may be
+words or marks of their own; the reading with the most evidence counts. The trigram model counts the letters of all texts; its
 alphabet is fixed, so its table has a fixed size. Words without any sign of a disguise are
 lattices with one path and are taken as they are.
 
@@ -53,9 +55,12 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100)))
 CODES = {c: i + 1 for i, c in enumerate(LETTERS)}  # 0 is the edge of a word
 SIZE = len(LETTERS) + 1
 #: Costs of the channel, in nats.
-LOOK_COST, REPEAT_COST, SEPARATOR_COST = 1.0, 1.5, 0.2
+LOOK_COST, REPEAT_COST, SEPARATOR_COST, BOUNDARY_COST = 1.0, 1.5, 0.2, 0.5
 #: Disguises: look-alikes beside letters, a letter three times, letters with separators.
-SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*·~][^\W_@$!]){2,}(?!\S)")
+SINGLE = r"(?:[^\W_]|[" + re.escape("".join(c for c in LOOKS if not c.isalnum())) + "])"
+SPACED = re.compile(rf"(?<![^\W_]){SINGLE}(?:[{re.escape(SEPARATORS)}]{{1,3}}{SINGLE}){{2,}}(?![^\W_])")
+#: Characters at each end of a row of single ones that may be words or marks of their own.
+APART = 2
 REPEATED = re.compile(r"(.)\1\1")
 EDGE = ".,;:!?\"'()[]{}*#%&$"
 CACHED = 300_000
@@ -103,15 +108,16 @@ class Restorer:
         n3 = three.sum(2, keepdims=True)
         self.log = np.log((three + 20 * p2) / (n3 + 20)).astype(np.float32)
 
-    def restore(self, word: str) -> str:
-        """The likeliest letters of a word; characters that stand for no letter end it."""
+    def restore(self, word: str, bounds: bool = False) -> str:
+        """The likeliest letters of a word; characters that stand for no letter end it, and
+        with ``bounds`` spaces may."""
         out: list[str] = []
         for piece in re.split(r"([^\w" + re.escape("".join(LOOKS) + SEPARATORS) + "]+)", word):
             if piece:
-                out.append(self.best_path(piece))
+                out.append(self.best_path(piece, bounds))
         return " ".join(x for x in out if x)
 
-    def best_path(self, word: str) -> str:
+    def best_path(self, word: str, bounds: bool = False) -> str:
         # State: the last two letters; value: the score, and the way back.
         log = self.log
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
@@ -127,6 +133,8 @@ class Restorer:
             for (a, b), (score, way) in states.items():
                 if c in SEPARATORS or not arcs:
                     offer((a, b), score - (SEPARATOR_COST if c in SEPARATORS else 3.0), way)
+                if bounds and c == " " and b:
+                    offer((b, 0), score - BOUNDARY_COST + float(log[a, b, 0]), (0, way))
                 for letter, cost in arcs:
                     offer((b, letter), score - cost + float(log[a, b, letter]), (letter, way))
                     if letter == b:
@@ -135,7 +143,7 @@ class Restorer:
         (_, _), (_, way) = max(states.items(), key=lambda s: (s[1][0] + float(log[s[0][0], s[0][1], 0]), s[0]))
         letters = []
         while way:
-            letters.append(LETTERS[way[0] - 1])
+            letters.append(LETTERS[way[0] - 1] if way[0] else " ")
             way = way[1]
         return "".join(reversed(letters))
 
@@ -162,6 +170,7 @@ class Words:
     def __init__(self, counts: np.ndarray) -> None:
         self.restorer = Restorer(counts)
         self.cache: dict[str, tuple[str, ...]] = {}
+        self.rows: dict[str, tuple[tuple[str, ...], ...]] = {}
 
     def readings(self, word: str) -> tuple[str, ...]:
         """A word as it stands without its edges, and restored where it looks disguised."""
@@ -172,19 +181,47 @@ class Words:
             if disguised(word):
                 for restored in (self.restorer.restore(word), self.restorer.restore(core)):
                     read.update(restored.split())
+                read.update(w for row in SPACED.finditer(core) for way in self.row_readings(row[0]) for w in way)
             found = tuple(sorted(read))
             if len(self.cache) >= CACHED:
                 self.cache.clear()
             self.cache[word] = found
         return found
 
+    def row_readings(self, row: str) -> tuple[tuple[str, ...], ...]:
+        """The readings of a row of single characters: the words of the whole row, with and
+        without ends of words at spaces, and of what is left without characters at its ends."""
+        if not any(c.isalpha() for c in row):
+            return ()
+        found = self.rows.get(row)
+        if found is None:
+            at = [i for i, c in enumerate(row) if c not in SEPARATORS]
+            parts = {row, row.strip(EDGE + SEPARATORS)}
+            for first in range(APART + 1):
+                for last in range(APART + 1):
+                    if len(at) - first - last >= 3:
+                        parts.add(row[at[first] : at[len(at) - 1 - last] + 1])
+            read = {self.restorer.restore(x, bounds) for x in parts for bounds in (False, True)}
+            read.add(" ".join(self.restorer.restore(x) for x in re.split(" {2,}", row)))  # a wide gap ends a word
+            found = tuple(sorted({tuple(x.split()) for x in read}))
+            if len(self.rows) >= CACHED // 10:
+                self.rows.clear()
+            self.rows[row] = found
+        return found
+
+    def spaced(self, text: str) -> Iterator[tuple[tuple[str, ...], ...]]:
+        """The readings of each row of single characters that is more than one token."""
+        for row in SPACED.finditer(text):
+            if " " in row[0]:
+                yield self.row_readings(row[0])
+
     def of(self, text: str) -> set[str]:
         text = text.lower()
         words: set[str] = set()
         for token in set(text.split()):
             words.update(self.readings(token))
-        for spaced in SPACED.finditer(text):
-            words.update(self.restorer.restore(spaced[0]).split())
+        for row in self.spaced(text):
+            words.update(w for read in row for w in read)
         return words
 
 
@@ -218,9 +255,9 @@ class Scorer:
         text = (text or "").lower()
         strong = [w for w in map(self.weight, set(text.split())) if w]
         get = self.model.weights.get
-        for spaced in SPACED.finditer(text):
-            for w in self.words.restorer.restore(spaced[0]).split():
-                strong.append(max([0.0, *(get(f, 0.0) for f in features_of(w))]))
+        for row in self.words.spaced(text):
+            scored = ([max(get(f, 0.0) for f in features_of(w)) for w in read] for read in row)
+            strong += max(scored, key=sum, default=[])
         return sum(heapq.nlargest(3, strong))
 
 
