@@ -233,6 +233,48 @@ def test_nearest(spark):
     assert nearest(df.limit(0), "vec_id % 50 = 0").count() == 0
 
 
+def test_ngram_join_by_rows(spark):
+    """Repeated ids with other texts and rows without an id are sets of their own; the stage
+    keeps the first row of each group, whatever the partitions."""
+    from tidelog.llm.ngram_join import ngram_components
+    from tidelog.llm.stages import ngram_jaccard_stage
+
+    def prose(start):
+        return " ".join(f"w{start + i}" for i in range(40))
+
+    rows = [
+        (1, prose(0), "b"), (1, prose(100), "b"), (2, prose(0), "b"), (3, prose(100) + " more", "b"), (4, prose(200), "b"),
+        (4, prose(200), "a"), (None, prose(200), "a"), (None, prose(300), "a"), (None, prose(300) + " more", "a"),
+        (None, prose(400), "a"), (5, prose(0) + " " + prose(100), "b"), (6, "", "b"), (7, None, "b"), (None, "", "b"),
+    ]
+    sets = []
+    for _, text, _ in rows:
+        w = words(text or "")
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(len(rows)):
+                near = 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0
+                if near or rows[a][:2] == rows[b][:2]:
+                    root[a] = root[b] = min(root[a], root[b])
+    groups = {}
+    for i, r in enumerate(root):
+        groups.setdefault(r, []).append(rows[i])
+    least = {r: min((i for i, _, _ in own if i is not None), default=None) for r, own in groups.items()}
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
+        want = Counter((row[0], len(s), least[r]) for row, s, r in zip(rows, sets, root, strict=True))
+        assert Counter(map(tuple, ngram_components(df, words=5, percent=80).collect())) == want
+        got = [tuple(r) for r in ngram_jaccard_stage(spark, df, "").collect()]
+        assert len(got) == len(groups)
+        for own in groups.values():
+            ids = [i for i, _, _ in own if i is not None]
+            kept = [r for r in got if any(r[:2] == x[:2] for x in own)]
+            assert len(kept) == 1 and kept[0][0] == min(ids, default=None)
+        assert (4, prose(200), "a") in got
+
+
 @pytest.mark.parametrize("distinct", [1, 2, 6, 17, 24, 60])
 def test_nearest_of_few_vectors(spark, distinct):
     """Every query gets all candidates if there are fewer than it wants, and the right ones."""

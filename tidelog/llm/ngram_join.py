@@ -15,8 +15,11 @@ its links, never all of them; the components of all forests are those of all lin
 
 Shingles are 64-bit hashes of lower-cased words between ASCII white space; a document with
 fewer words than a shingle has one shingle, the whole sequence; one without words, or a null
-text, has none and links with nothing. Equal rows link with each other, ties and repeated ids
+text, has none and links with nothing. Equal texts link with each other, ties and repeated ids
 included; an empty table gives an empty result.
+
+A set belongs to a key, the 64-bit hash of id and text: rows that share an id but not the text
+are sets of their own, and rows without an id take part like others.
 """
 
 from __future__ import annotations
@@ -79,8 +82,14 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return row[fresh], value[fresh]
 
 
+def row_key(id_col: str, text_col: str):
+    """The same for rows of the same id (or none) and the same text."""
+    return F.xxhash64(F.col(id_col).isNull(), id_col, F.col(text_col).isNull(), F.col(text_col).cast("string"))
+
+
 def set_directory(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc, n, k1, k2`` of every row: the size of its set and two hashes of the whole set."""
+    """``doc, id, n, k1, k2`` of every row: its key, its id, the size of its set and two hashes
+    of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,15 +102,17 @@ def set_directory(docs: DataFrame, words: int, id_col: str, text_col: str) -> Da
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(texts)),
+                        batch.column(1).slice(first, len(texts)),
                         pa.array(n, pa.int64()),
                         pa.array(k1.view(np.int64)),
                         pa.array(k2.view(np.int64)),
                     ],
-                    ["doc", "n", "k1", "k2"],
+                    ["doc", "id", "n", "k1", "k2"],
                 )
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("_text"))
-    return picked.mapInArrow(run, "doc long, n long, k1 long, k2 long")
+    ids = F.col(id_col).cast("long").alias("id")
+    picked = docs.select(row_key(id_col, text_col).alias("doc"), ids, F.col(text_col).cast("string").alias("_text"))
+    return picked.mapInArrow(run, "doc long, id long, n long, k1 long, k2 long")
 
 
 PACKED = "range int, docs binary, sizes binary, hashes binary, rows binary"
@@ -142,9 +153,7 @@ def text_incidence(docs: DataFrame, words: int, bits: int, id_col: str, text_col
                 sizes = np.bincount(row, minlength=len(texts))
                 yield packed(ids[first : first + len(texts)], sizes, row, value, bits)
 
-    picked = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("_text")
-    )
+    picked = docs.select(row_key(id_col, text_col).alias("doc"), F.col(text_col).cast("string").alias("_text"))
     return picked.mapInArrow(run, PACKED)
 
 
@@ -204,7 +213,7 @@ def shared_sets(incidence: DataFrame, bits: int, percent: int) -> DataFrame:
                 continue
             token = table.column("token").to_numpy()
             df = table.column("df").to_numpy()
-            token, first = np.unique(token, return_index=True)  # repeated ids
+            token, first = np.unique(token, return_index=True)  # repeated rows
             if len(token) < need(n, percent):
                 continue
             df = df[first]
@@ -324,7 +333,7 @@ def block_links(sets: DataFrame, percent: int, block_sets: int) -> DataFrame:
 
 def ngram_links(docs: DataFrame, directory: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """``a, b``: links that join the same sets as all links do; equal sets are one set here,
-    known by the smallest id."""
+    known by the smallest key."""
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long")).alias("b")).first()["b"] or 0
     bits = max(LEAST_RANGES, -(-size // RANGE_BYTES)).bit_length()
     first = shared_sets(text_incidence(docs, words, bits, id_col, text_col), bits, percent)
@@ -344,22 +353,30 @@ def ngram_links(docs: DataFrame, directory: DataFrame, words: int, percent: int,
     return cut(block_links(sets.join(clusters, "doc"), percent, BLOCK_SETS))
 
 
-def ngram_components(
+def ngram_groups(
     docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``id_col, n_shingles, component_id`` of every row: the size of its set and the smallest
-    id that links reach from it."""
+    """``doc, id, n, component`` of every row: its key, its id, the size of its set and the
+    smallest key that links reach from it."""
     spark = docs.sparkSession
     ship(spark)
     sized = cut(set_directory(docs, words, id_col, text_col))
-    equal = sized.where("n > 0 and doc is not null").groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep"))
+    equal = sized.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep"))
     directory = sized.where("n > 0").join(equal, ["n", "k1", "k2"]).select("doc", "rep").distinct()
     directory = cut(directory)
     links = ngram_links(docs, directory, words, percent, id_col, text_col)
-    # Repeated ids may carry different texts: their sets are joined by the id.
     joined = links.union(directory.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")))
     found = connected_components(cut(joined)).select(F.col("node").alias("doc"), "component")
     rows = sized.join(found, "doc", "left")
-    return rows.select(
-        F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id")
-    )
+    return rows.select("doc", "id", "n", F.coalesce("component", "doc").alias("component"))
+
+
+def ngram_components(
+    docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``id_col, n_shingles, component_id`` of every row: the size of its set and the smallest
+    id that links reach from it, null if they reach no row with an id."""
+    rows = cut(ngram_groups(docs, words, percent, id_col, text_col))
+    least = rows.where("id is not null").groupBy("component").agg(F.min("id").alias("component_id"))
+    rows = rows.join(least, "component", "left")
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

@@ -28,13 +28,22 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group, the one with the smallest id. Near
-    copies here are word shingles of five words and a similarity of 0.8 or more."""
-    from tidelog.llm.ngram_join import ngram_components
-
-    groups = ngram_components(docs, words=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(groups, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else kept
+    """Keeps one document of each near-duplicate group, the one with the smallest id; documents
+    without an id take part and come last. Near copies here are word shingles of five words and
+    a similarity of 0.8 or more. Documents that share an id but not the text are not one; rows
+    of one id and one text are."""
+    from tidelog.llm.ngram_join import ngram_groups, row_key
+
+    groups = ngram_groups(docs, words=5, percent=80)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc")).alias("first")
+    kept = groups.groupBy("component").agg(first).select(F.col("first.doc").alias("_key"))
+    rows = docs.withColumn("_key", row_key("doc_id", "text")).join(kept, "_key", "left_semi")
+    # Rows of one key have the same id and text; of their other columns the smallest stay.
+    others = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind]
+    whole = [F.first(c).alias(c) for c in docs.columns if c not in others]
+    least = [F.min(F.struct(*[F.col(c) for c in others])).alias("_others")] if others else []
+    rows = rows.groupBy("_key").agg(*whole, *least)
+    return rows.select(*[F.col(f"_others.{c}") if c in others else F.col(c) for c in docs.columns])
 
 
 def suffix_array_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
