@@ -309,6 +309,18 @@ def test_pii(docs, small):
     assert pii_spans(docs.limit(0), fit_pii(docs.limit(0))).count() == 0
 
 
+def test_pii_sample_is_not_filled_by_copies(spark):
+    from tidelog.llm.pii import fit_pii
+
+    texts = [f"write to user{i}@host{i % 7}.example.org or call +1 555 {i:03d} {1000 + i}, not {i}.{i}.{i}" for i in range(300)]
+    hot = "numbers " + " ".join(f"+49 30 {i:03d} {2000 + i}" for i in range(60))
+    plain = fit_pii(spark.createDataFrame([(t,) for t in [*texts, hot]], "text string"), sample_docs=200, sample_rows=600)
+    copies = spark.createDataFrame([(t,) for t in texts + [hot] * 300], "text string").repartition(5)
+    other = fit_pii(copies, sample_docs=200, sample_rows=600)
+    assert other.thresholds == plain.thresholds
+    assert plain.thresholds["email"] <= 1
+
+
 def test_imatch(docs, small):
     from tidelog.llm.imatch import imatch_fingerprints, likeness_of_texts
 
