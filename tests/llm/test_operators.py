@@ -309,6 +309,15 @@ def test_pii(docs, small):
     assert pii_spans(docs.limit(0), fit_pii(docs.limit(0))).count() == 0
 
 
+def test_disguised_addresses_are_candidates():
+    from tidelog.llm.pii import candidates
+
+    for own in ("jane{at}mail{dot}org", "jane at mail.org", "jane ( at ) mail.org", "jane@mail.org", "Jane [AT] mail [DOT] org"):
+        assert ("email", 0, len(own)) in candidates(own)
+        assert ("email", 4, 4 + len(own)) in candidates(f"so: {own}, then")
+    assert not candidates("that is flat data")
+
+
 def test_pii_sample_is_not_filled_by_copies(spark):
     from tidelog.llm.pii import fit_pii
 
