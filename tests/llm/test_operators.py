@@ -309,6 +309,23 @@ def test_pii(docs, small):
     assert pii_spans(docs.limit(0), fit_pii(docs.limit(0))).count() == 0
 
 
+def test_descent_ends_by_its_own_rule(spark, monkeypatch):
+    from tidelog.llm import nn_descent
+
+    turns = []
+
+    def found(graph, nodes, blocks, degree, sample, turn):
+        turns.append(turn)
+        rows = [(a, (a + turn + 1) % 40, 2.0 + turn, 1) for a in range(40)] if turn < 9 else []
+        return spark.createDataFrame(rows, nn_descent.LINKS)
+
+    monkeypatch.setattr(nn_descent, "local_joins", found)
+    rng = np.random.default_rng(1)
+    nodes = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(40)], "node long, vector array<double>")
+    nn_descent.neighbour_graph(nodes, degree=2)
+    assert turns == list(range(10))
+
+
 def test_disguised_addresses_are_candidates():
     from tidelog.llm.pii import candidates
 

@@ -34,7 +34,8 @@ from tidelog.session import ship
 
 DEGREE = 30
 SAMPLE = 15
-ROUNDS = 6
+#: The descent ends when a round changes few links; this ceiling is far above its need.
+ROUNDS = 60
 BEAM = 200
 EXPAND = 40
 HOPS = 6
