@@ -10,6 +10,7 @@ R = Registry()
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,3 +97,28 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@R.add("op11_merkle_manifest")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.merkle import manifest_digests, tampered_third
+
+    return manifest_digests(table(spark, sf_dir, "documents"), tampered_third())
+
+
+@R.add("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.whitening import whiten
+
+    rows = whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", rows["deviation"].cast("long"))
+
+
+@R.add("op13_segment_bpe")
+def op13_segment_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidelog.llm.segment_bpe import segment_digests
+
+    docs = table(spark, sf_dir, "documents")
+    return segment_digests(docs, tokenizer_path(BYTE_RANKS), public_tokenizers.PATTERN)
