@@ -88,12 +88,12 @@ def test_pointer_snapshots(spark):
 
 
 def test_lag_example(spark):
-    rows = [("q", "", 26652582), ("q", "reader", 19989254), ("q", "idle", 26652582), ("unwritten", "reader", 0)]
+    rows = [("q", "", 731_204), ("q", "reader", 412_080), ("q", "idle", 731_204), ("unwritten", "reader", 0)]
     table = spark.createDataFrame(rows, "queue string, consumer string, ptr long")
     lag = {(r["queue"], r["consumer"]): (r["lag"], r["idle"]) for r in delivery.consumer_lag(table).collect()}
-    assert lag == {("q", "reader"): (6663328, False), ("q", "idle"): (0, True), ("unwritten", "reader"): (0, True)}
+    assert lag == {("q", "reader"): (319_124, False), ("q", "idle"): (0, True), ("unwritten", "reader"): (0, True)}
     windows = {(r["queue"], r["consumer"]): (r["after"], r["upto"]) for r in delivery.next_windows(table, 50_000).collect()}
-    assert windows[("q", "reader")] == (19989254, 20039254) and windows[("q", "idle")] == (26652582, 26652582)
+    assert windows[("q", "reader")] == (412_080, 462_080) and windows[("q", "idle")] == (731_204, 731_204)
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])

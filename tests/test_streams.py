@@ -2,14 +2,16 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidelog.operators.audit import throughput as batch_throughput
 from tidelog.operators.runs import ack_frontier
 from tidelog.schemas import ACKS, LOG, POINTERS
 from tidelog.session import work_path
+from tidelog.sources import deltas
 from tidelog.sources.log_table import log_append, log_scan
-from tidelog.sources.pointers import load_pointers
+from tidelog.sources.publications import published_log, written_upto
 from tidelog.streaming import frontier, receive, throughput
 
 
@@ -110,36 +112,50 @@ def test_full_blocks_stay_full(spark, monkeypatch):
         assert [r["ptr"] for r in frontier.committed_pointers(spark, path, query).collect()] == [want]
 
 
-def test_another_checkpoint_keeps_what_is_published(spark):
-    """A publisher with a new checkpoint goes on after the stored pointer."""
-    path, pointer_path = work_path(spark, "log"), work_path(spark, "pointers")
+def test_publishing_continues_over_checkpoints(spark):
+    path, record = work_path(spark, "log"), work_path(spark, "records")
     schema = packets(spark, 0, 1).schema
-    for low, high in ((0, 20), (20, 25)):
+    for low, high in ((50, 70), (20, 25)):
         source = work_path(spark, "in")
         packets(spark, low, high).coalesce(1).write.parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         checkpoint = work_path(spark, "checkpoint")
-        receive.publish_stream(stream, path, pointer_path, "q", "k", checkpoint, once=True).awaitTermination()
-    for log in (receive.published_log(spark, path), receive.published_log(spark, path, pointer_path=pointer_path)):
-        stored = sorted((r["id"], bytes(r["data"]).decode()) for r in log.collect())
-        assert stored == [(i, str(i - 1)) for i in range(1, 26)]
-    assert [r["ptr"] for r in load_pointers(spark, pointer_path, 1).collect()] == [25]
+        receive.publish_stream(stream, path, record, "q", "k", checkpoint, once=True).awaitTermination()
+    stored = sorted((r["id"], bytes(r["data"]).decode()) for r in published_log(spark, path, record, "q").collect())
+    assert stored == [(i + 1, str(v)) for i, v in enumerate([*range(50, 70), *range(20, 25)])]
+    assert written_upto(spark, record, "q") == 25
 
 
-def test_publishing_continues_and_replays(spark):
-    source, path, pointer_path, checkpoint = (work_path(spark, n) for n in ("in", "log", "pointers", "checkpoint"))
-    schema = packets(spark, 0, 1).schema
-
-    def go():
-        stream = spark.readStream.schema(schema).parquet(source)
-        receive.publish_stream(stream, path, pointer_path, "q", "k", checkpoint, once=True).awaitTermination()
-        return sorted((r["id"], bytes(r["data"]).decode()) for r in receive.published_log(spark, path).collect())
-
-    packets(spark, 50, 70).coalesce(1).write.parquet(source)
-    assert go() == [(i, str(i + 49)) for i in range(1, 21)]
-    packets(spark, 0, 10).coalesce(1).write.mode("append").parquet(source)
-    assert go()[20:] == [(i, str(i - 21)) for i in range(21, 31)]
-    assert [(r["queue"], r["ptr"]) for r in load_pointers(spark, pointer_path, 1).collect()] == [("q", 30)]
+def test_state_ends_with_full_blocks(spark, monkeypatch):
+    """Twenty batches, each fills a block and begins the next: state and changes stay small."""
+    monkeypatch.setattr(frontier.block_state, "BLOCK_IDS", 16)
+    monkeypatch.setattr(frontier, "BLOCK_IDS", 16)
+    acks, path, checkpoint = (work_path(spark, n) for n in ("acks", "state", "checkpoint"))
+    add(spark, acks, [("idle", "c", i) for i in (1, 2)] + [("q", "c", 1)], ACKS)
+    for k in range(20):
+        add(spark, acks, [("q", "c", i) for i in range(16 * k + 2, 16 * k + 18)], ACKS)
+    stream = spark.readStream.schema(ACKS).option("maxFilesPerTrigger", 1).parquet(acks)
+    query = frontier.commit_pointers(frontier.stream_ack_frontier(stream), path, checkpoint, once=True)
+    query.awaitTermination()
+    assert query.lastProgress["batchId"] >= 20
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
+    pointers = {r["queue"]: r["ptr"] for r in frontier.committed_pointers(spark, path).collect()}
+    assert pointers == {"q": 321, "idle": 2}
+    last = spark.read.parquet(f"{path}/frontiers/delta=20")
+    assert [(r["queue"], r["ptr"]) for r in last.collect()] == [("q", 321)]
+    still_open = deltas.load(spark, f"{path}/blocks", frontier.BLOCK, frontier.OPEN).collect()
+    assert sorted((r["queue"], r["block"]) for r in still_open) == [("idle", 0), ("q", 20)]
+
+
+def test_a_session_without_the_state_store_is_refused(spark):
+    name, value = frontier.STATE_STORE
+    spark.conf.unset(name)
+    try:
+        with pytest.raises(ValueError):
+            frontier.stream_ack_frontier(spark.createDataFrame([], ACKS))
+        assert spark.conf.get(name, "") == ""
+    finally:
+        spark.conf.set(name, value)
 
 
 def test_throughput_equals_batch(spark):

@@ -20,7 +20,7 @@ def leading_ones(seen: np.ndarray) -> int:
 
 class BlockAcks(StatefulProcessor):
     """Remembers which ids of a block were acked; emits how far it is complete. A full
-    block is kept as an empty bitmap."""
+    block is forgotten."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "bits binary")
@@ -29,8 +29,6 @@ class BlockAcks(StatefulProcessor):
         bits = np.zeros(BLOCK_IDS, np.uint8)
         if self.seen.exists():
             stored = np.unpackbits(np.frombuffer(bytes(self.seen.get()[0]), np.uint8))
-            if not len(stored):
-                return
             bits[: len(stored)] = stored
         before = int(bits.sum())
         queue, consumer, block = key
@@ -41,8 +39,11 @@ class BlockAcks(StatefulProcessor):
         bits[: max(0, start - block * BLOCK_IDS)] = 1
         acked = int(bits.sum())
         if acked > before:
-            used = int(np.flatnonzero(bits)[-1]) + 1
-            self.seen.update((b"" if acked == BLOCK_IDS else np.packbits(bits[:used]).tobytes(),))
+            if acked == BLOCK_IDS:
+                self.seen.clear()
+            else:
+                used = int(np.flatnonzero(bits)[-1]) + 1
+                self.seen.update((np.packbits(bits[:used]).tobytes(),))
             row = {"queue": [queue], "consumer": [consumer], "start": [start], "block": [block]}
             yield pd.DataFrame({**row, "prefix": [leading_ones(bits)], "acked": [acked]})
 

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidelog.operators.numbering import floor_div
 from tidelog.operators.runs import ack_frontier
 from tidelog.session import cut
-from tidelog.sources.pointers import has_version, load_pointers, pointer_state, save_pointers
+from tidelog.sources import deltas
 from tidelog.streaming import block_state
 from tidelog.streaming.block_state import BLOCK_IDS, BlockAcks
 from tidelog.streaming.receive import run
@@ -34,6 +34,11 @@ PROGRESS = T.StructType(
     ]
 )
 BLOCK = ["queue", "consumer", "block"]
+#: What a session needs for the state of blocks; set it when the session is started.
+STATE_STORE = (
+    "spark.sql.streaming.stateStore.providerClass",
+    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+)
 
 
 def stream_ack_frontier(acks: DataFrame, pointers: DataFrame | None = None) -> DataFrame:
@@ -41,14 +46,12 @@ def stream_ack_frontier(acks: DataFrame, pointers: DataFrame | None = None) -> D
     without a hole, ``acked`` in all. Ids up to the consumer's pointer ``start`` count as
     acked; acks at or below it are late and dropped, repeated ones change nothing, early
     ones wait in the state. Blocks do not depend on the pointers, so a restart with newer
-    ones finds the acks that wait; an older one takes nothing back."""
-    spark = acks.sparkSession
+    ones finds the acks that wait; an older one takes nothing back. A block that is full has
+    no state any more: repeats of its ids begin it anew, and readers keep the larger prefix."""
+    if acks.sparkSession.conf.get(STATE_STORE[0], "") != STATE_STORE[1]:
+        raise ValueError(f"start the session with {'='.join(STATE_STORE)}")
     # the state driver does not see shipped packages: the processor travels by value
     cloudpickle.register_pickle_by_value(block_state)
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
     based = acks.select("queue", "consumer", F.col("id").cast("long").alias("id"))
     if pointers is None:
         based = based.withColumn("start", F.lit(0).cast("long"))
@@ -97,50 +100,42 @@ def commit_pointers(
     sink: Callable[[DataFrame, int], None] | None = None,
     once: bool = False,
 ) -> StreamingQuery:
-    """Move the stored pointers along with a progress stream. Per batch the sink runs
-    first, then the pointers are stored as snapshot ``batch_id``; a replay repeats both,
-    so delivery is at least once and the sink must be keyed by batch."""
+    """Move the stored pointers along with a progress stream. Per batch the sink runs first,
+    then the changes of the batch are stored as version ``batch_id``: pointers that moved, and
+    blocks that grew, began or were passed. Consumers without an ack in the batch are neither
+    computed nor written. A replay repeats all of it, so delivery is at least once and the
+    sink must be keyed by batch."""
     spark = progress.sparkSession
-
-    def table(name: str, version: int, schema: T.StructType) -> DataFrame:
-        if version < 0 or not has_version(spark, f"{path}/{name}", version):
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(f"{path}/{name}/version={version}")
+    names = ["queue", "consumer"]
 
     def commit(batch: DataFrame, batch_id: int) -> None:
         updates = cut(batch)
         if sink is not None:
             sink(updates, batch_id)
-        names = ["queue", "consumer"]
-        open_before = table("blocks", batch_id - 1, OPEN)
-        before = table("frontiers", batch_id - 1, FRONTIERS)
-        merged = merge_progress(open_before, updates, before)
-        after = (
-            before.unionByName(merged).groupBy(*names).agg(F.max("ptr").alias("ptr"))
-        )
-        after.write.mode("overwrite").parquet(f"{path}/frontiers/version={batch_id}")
-        moved = table("frontiers", batch_id, FRONTIERS)
-        passed = floor_div(F.col("ptr"), BLOCK_IDS)
-        still_open = (
-            open_before.unionByName(updates.select(OPEN.names))
+        grown = updates.select(OPEN.names)
+        touched = updates.select(*names).distinct()
+        before = deltas.load(spark, f"{path}/frontiers", names, FRONTIERS, batch_id - 1).join(touched, names, "left_semi")
+        was_open = deltas.load(spark, f"{path}/blocks", BLOCK, OPEN, batch_id - 1).join(touched, names, "left_semi")
+        merged = merge_progress(was_open, updates, before)
+        moved = merged.join(before.select(*names, F.col("ptr").alias("_before")), names, "left")
+        moved = cut(moved.withColumn("ptr", F.greatest("ptr", F.coalesce("_before", "ptr"))))
+        news = moved.where(F.col("_before").isNull() | (F.col("_before") != F.col("ptr")))
+        deltas.save(news.select(FRONTIERS.names), f"{path}/frontiers", names, batch_id)
+        blocks = (
+            was_open.withColumn("_grown", F.lit(False))
+            .unionByName(grown.withColumn("_grown", F.lit(True)))
             .groupBy(*BLOCK)
-            .agg(F.max("prefix").alias("prefix"), F.max("start").alias("start"))
-            .join(moved, names, "left")
-            .where(F.col("block") >= F.coalesce(passed, F.lit(0)))
-            .select(OPEN.names)
-        )
-        still_open.write.mode("overwrite").parquet(f"{path}/blocks/version={batch_id}")
-        changes = moved.select("queue", "consumer", "ptr", F.lit(1).alias("seq")).unionByName(
-            load_pointers(spark, f"{path}/pointers", batch_id - 1).withColumn("seq", F.lit(0))
+            .agg(F.max("prefix").alias("prefix"), F.max("start").alias("start"), F.max("_grown").alias("_grown"))
+            .join(moved.select(*names, floor_div(F.col("ptr"), BLOCK_IDS).alias("_passed")), names)
+            .withColumn(deltas.GONE, F.col("block") < F.col("_passed"))
         )
-        save_pointers(pointer_state(changes, changes), f"{path}/pointers", batch_id)
+        changed = blocks.where(F.col("_grown") | F.col(deltas.GONE)).select(*OPEN.names, deltas.GONE)
+        deltas.save(changed, f"{path}/blocks", BLOCK, batch_id)
 
     return run(progress, commit, checkpoint, mode="update", once=once)
 
 
-def committed_pointers(spark: SparkSession, path: str, query: StreamingQuery) -> DataFrame:
-    """The pointers that a run of :func:`commit_pointers` stored last."""
-    version = query.lastProgress["batchId"] if query.lastProgress else -1
-    while version >= 0 and not has_version(spark, f"{path}/pointers", version):
-        version -= 1
-    return load_pointers(spark, f"{path}/pointers", version)
+def committed_pointers(spark: SparkSession, path: str, query: StreamingQuery | None = None) -> DataFrame:
+    """The pointers as a run of :func:`commit_pointers` left them, or as they are now."""
+    upto = query.lastProgress["batchId"] if query is not None and query.lastProgress else None
+    return deltas.load(spark, f"{path}/frontiers", ["queue", "consumer"], FRONTIERS, upto)

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidelog.schemas import LOG, POINTERS, WRITER
-from tidelog.sources.log_table import number_packets, write_log
-from tidelog.sources.pointers import has_version, newest_version
+from tidelog.schemas import LOG
+from tidelog.sources.publications import publish_batch
 
 #: Idle interval of a receiver.
 POLL = "500 milliseconds"
@@ -70,57 +69,19 @@ def publish_stream(
     keep: tuple[str, ...] = ("data",),
     once: bool = False,
 ) -> StreamingQuery:
-    """Number and store a stream of packets. A batch starts at the newest stored pointer,
-    whichever checkpoint left it, and is kept in a folder of its own checkpoint, so another
-    checkpoint never overwrites it. Packets are stored before the pointer moves; a batch
-    whose pointer is stored is complete and its replay changes nothing, one without is
-    numbered again. A log and its pointers have one publisher at a time."""
+    """Number and store a stream of packets through :func:`publish_batch`, with the checkpoint
+    as publisher: a batch that Spark repeats finds its own record under ``pointer_path``,
+    whatever other checkpoints have published since. A log has one publisher at a time."""
     spark = stream.sparkSession
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         owner = checkpoint_owner(spark, checkpoint)
-        version = newest_version(spark, pointer_path)
-        before = load_publications(spark, pointer_path, version).first()
-        if before and before["owner"] == owner and before["batch_id"] >= batch_id:
-            return
-        last_id = before["ptr"] if before else 0
-        target = batch_path(f"{path}/owner={owner}", batch_id)
-        write_log(number_packets(batch, order_by, last_id, shards, list(keep)), target, "overwrite")
-        stored = spark.read.schema(T.StructType([LOG["id"]])).parquet(target).count()
-        row = spark.createDataFrame([(queue, WRITER, last_id + stored, owner, batch_id)], PUBLICATIONS)
-        row.write.mode("overwrite").parquet(f"{pointer_path}/version={version + 1}")
+        publish_batch(batch, path, pointer_path, queue, owner, batch_id, order_by, shards, keep)
 
     return run(stream, publish, checkpoint, once=once)
 
 
-#: A stored pointer and the batch that left it.
-PUBLICATIONS = T.StructType(
-    [*POINTERS.fields, T.StructField("owner", T.StringType()), T.StructField("batch_id", T.LongType())]
-)
-
-
 def checkpoint_owner(spark: SparkSession, checkpoint: str) -> str:
     """The id that Spark gave the query of a checkpoint; a new checkpoint has a new one,
     also in a folder used before."""
     return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
-
-
-def load_publications(spark: SparkSession, pointer_path: str, version: int) -> DataFrame:
-    """A stored pointer with its batch, or no rows when there is none; a pointer from
-    elsewhere has no owner."""
-    if not has_version(spark, pointer_path, version):
-        return spark.createDataFrame([], PUBLICATIONS)
-    return spark.read.schema(PUBLICATIONS).parquet(f"{pointer_path}/version={version}")
-
-
-def published_log(
-    spark: SparkSession, path: str, schema: T.StructType = LOG, pointer_path: str | None = None
-) -> DataFrame:
-    """What publishing streams have stored. With their pointers, batches whose pointer was
-    not stored are left out."""
-    batch = [T.StructField("owner", T.StringType()), T.StructField("batch_id", T.LongType())]
-    log = spark.read.schema(T.StructType([*schema.fields, *batch])).parquet(path)
-    if pointer_path is None:
-        return log
-    complete = spark.read.schema(PUBLICATIONS).parquet(pointer_path).select("owner", "batch_id")
-    return log.join(complete, ["owner", "batch_id"], "left_semi")

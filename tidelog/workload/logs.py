@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelog.operators import audit, numbering
-from tidelog.operators.delivery import where_ids
 from tidelog.session import work_path
 from tidelog.sources import log_table, pointers, publish
+from tidelog.sources.block_log import BlockLog, read_blocks, upsert_blocks, where_ids_in
+from tidelog.sources.publications import publish_batch, published_log
 from tidelog.workload import Registry
 from tidelog.workload.tables import EVENTS_LOG, SHARDS, big, events_log, table, text_bytes
 
 R = Registry()
 
+#: Blocks of the registered logs, so small that the given tables have several.
+BLOCK_IDS = 1 << 15
+
 
 @R.add("s1_log_scan", f"WITH {EVENTS_LOG} SELECT id, hex(data) AS data, shard FROM log")
 def s1(spark, sf):
@@ -26,9 +30,10 @@ def s1(spark, sf):
     f"WITH {EVENTS_LOG} SELECT id, hex(data) AS data FROM log WHERE id > 0",
 )
 def s2(spark, sf):
-    log = events_log(spark, sf)
-    upto = log.agg(F.max("id")).first()[0]
-    return numbering.read_range(log, 0, upto).select("id", F.hex("data").alias("data"))
+    log = BlockLog(work_path(spark, "blocks"), SHARDS, BLOCK_IDS)
+    upsert_blocks(events_log(spark, sf).select("id", "data", F.lit(0).alias("seq")), log)
+    upto = log.zones(spark).agg(F.max("max_id")).first()[0]
+    return read_blocks(spark, log, 0, upto).select("id", F.hex("data").alias("data"))
 
 
 @R.add(
@@ -38,9 +43,12 @@ def s2(spark, sf):
 )
 def s3(spark, sf):
     packets = table(spark, sf, "orders").select("o_orderdate", "o_orderkey", text_bytes("o_orderpriority").alias("data"))
-    path = work_path(spark, "append")
-    log_table.log_append(packets, path, ["o_orderdate", "o_orderkey"], 1000, SHARDS)
-    return log_table.log_scan(spark, path).select("id", F.hex("data").alias("data"), big("shard").alias("shard"))
+    path, record = work_path(spark, "append"), work_path(spark, "records")
+    # the second call is a retry and stores nothing
+    for _ in range(2):
+        publish_batch(packets, path, record, "orders", "loader", 0, ["o_orderdate", "o_orderkey"], SHARDS, first_after=1000)
+    stored = published_log(spark, path, record, "orders")
+    return stored.select("id", F.hex("data").alias("data"), big("shard").alias("shard"))
 
 
 @R.add(
@@ -58,8 +66,11 @@ def s4(spark, sf):
         F.encode(F.concat("l_returnflag", "l_linestatus", F.col("l_partkey").cast("string")), "UTF-8").alias("data"),
         F.col("l_shipdate").alias("seq"),
     )
-    log = table(spark, sf, "orders").select((F.col("o_orderkey") + 1).alias("id"), text_bytes("o_orderpriority").alias("data"))
-    return log_table.log_upsert(log, incoming).select("id", F.hex("data").alias("data"))
+    orders = table(spark, sf, "orders").select((F.col("o_orderkey") + 1).alias("id"), text_bytes("o_orderpriority").alias("data"))
+    log = BlockLog(work_path(spark, "blocks"), SHARDS, BLOCK_IDS)
+    upsert_blocks(orders.withColumn("seq", F.lit(0)), log)
+    upsert_blocks(incoming, log)
+    return log.rows(spark).select("id", F.hex("data").alias("data"))
 
 
 @R.add(
@@ -128,11 +139,11 @@ def s8(spark, sf):
     "SELECT doc_id + 1 AS id, md5(text) AS digest FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
 )
 def p1(spark, sf):
-    log = table(spark, sf, "documents").select(
-        (F.col("doc_id") + 1).alias("id"), text_bytes("text").alias("data"), numbering.shard_of(F.col("doc_id") + 1, SHARDS).alias("shard")
-    )
+    docs = table(spark, sf, "documents").select((F.col("doc_id") + 1).alias("id"), text_bytes("text").alias("data"), F.lit(0).alias("seq"))
+    log = BlockLog(work_path(spark, "blocks"), SHARDS, BLOCK_IDS)
+    upsert_blocks(docs, log)
     ids = table(spark, sf, "labels").select((F.col("doc_id") + 1).alias("id"))
-    return where_ids(log, ids, SHARDS).select("id", F.md5("data").alias("digest"))
+    return where_ids_in(spark, log, ids).select("id", F.md5("data").alias("digest"))
 
 
 @R.add(

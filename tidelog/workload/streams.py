@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from tidelog.schemas import LOG, POINTERS
 from tidelog.session import work_path
 from tidelog.sources.log_table import write_log
+from tidelog.sources.publications import publish_batch, published_log
 from tidelog.streaming import frontier, receive, throughput
 from tidelog.workload import Registry
 from tidelog.workload.tables import EVENTS_LOG, ORDER_ACKS, SHARDS, big, events_log, frontier_sql, order_acks, table, text_bytes
@@ -36,7 +37,12 @@ def t1(spark, sf):
 
 
 def _acks(spark, sf):
-    return order_acks(stream_of(spark, sf, "lineitem"))
+    """The acks of ``lineitem`` as a stream of two batches."""
+    spark.conf.set(*frontier.STATE_STORE)
+    path = work_path(spark, "acks")
+    acks = order_acks(table(spark, sf, "lineitem"))
+    acks.repartition(2).write.parquet(path)
+    return spark.readStream.schema(acks.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @R.add(
@@ -81,12 +87,23 @@ def t3(spark, sf):
   row_number() OVER (ORDER BY ts, event_id) % 4 AS shard FROM events""",
 )
 def t4(spark, sf):
-    path, pointer_path, checkpoint = (work_path(spark, n) for n in ("published", "pointers", "checkpoint"))
-    packets = stream_of(spark, sf, "events").select("ts", "event_id", text_bytes("props").alias("data"))
-    receive.publish_stream(
-        packets, path, pointer_path, "events", ["ts", "event_id"], checkpoint, SHARDS, once=True
-    ).awaitTermination()
-    stored = receive.published_log(spark, path)
+    """The earlier half by one publisher, the later by another; then the first one repeats
+    its batch, as after a failure, and nothing changes."""
+    path, record = work_path(spark, "published"), work_path(spark, "records")
+    order_by = ["ts", "event_id"]
+    events = table(spark, sf, "events")
+    ends = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    middle = ends["low"] + (ends["high"] - ends["low"]) / 2
+    late = F.col("ts") > F.lit(str(middle)).cast(events.schema["ts"].dataType)
+    packed = ["ts", "event_id", text_bytes("props").alias("data")]
+    first = work_path(spark, "checkpoint")
+    for part, checkpoint in ((~late, first), (late, work_path(spark, "checkpoint"))):
+        packets = stream_of(spark, sf, "events").where(part).select(*packed)
+        receive.publish_stream(packets, path, record, "events", order_by, checkpoint, SHARDS, once=True).awaitTermination()
+    owner = receive.checkpoint_owner(spark, first)
+    again = events.where(~late).select(*packed)
+    publish_batch(again, path, record, "events", owner, 0, order_by, SHARDS)
+    stored = published_log(spark, path, record, "events")
     return stored.select("id", F.hex("data").alias("data"), big("shard").alias("shard"))
 
 
