@@ -41,6 +41,8 @@ LEAST_SHARE = 1 / 4000
 MOST_SHARE = 1 / 10
 #: Text that one task orders and compares, about, in bytes.
 PART_BYTES = 6 << 20
+#: The least number of ranges, so that small tables are not left to one task.
+LEAST_PARTS = 8
 #: Documents whose fingerprints are computed together.
 TOGETHER = 256
 NO_ID = -(2**63)
@@ -177,7 +179,7 @@ def in_order(docs: DataFrame, part_bytes: int = PART_BYTES, id_col: str = "doc_i
     if not size["n"]:
         empty = T.StructType.fromDDL("_part long, _ahead int, _id long, _text string")
         return spark.createDataFrame([], empty)
-    parts = max(1, -(-size["b"] // part_bytes))
+    parts = max(LEAST_PARTS, -(-size["b"] // part_bytes))
     cuts = rows.agg(
         F.percentile_approx("_id", [i / parts for i in range(1, parts)] or [0.0], 100 * parts).alias("q")
     ).first()["q"]
@@ -200,7 +202,7 @@ def in_order(docs: DataFrame, part_bytes: int = PART_BYTES, id_col: str = "doc_i
     )
     columns = ["_part", "_ahead", "_id", "_text"]
     both = own.select(columns).unionByName(ahead.select(columns))
-    return both.repartition(len(bounds), "_part").sortWithinPartitions("_part", "_ahead", "_id", "_text")
+    return both.repartition(max(LEAST_PARTS, len(bounds)), "_part").sortWithinPartitions("_part", "_ahead", "_id", "_text")
 
 
 def imatch_fingerprints(
