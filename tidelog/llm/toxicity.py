@@ -63,7 +63,7 @@ SPACED = re.compile(rf"(?<![^\W_]){SINGLE}(?:[{re.escape(SEPARATORS)}]{{1,3}}{SI
 APART = 2
 REPEATED = re.compile(r"(.)\1\1")
 EDGE = ".,;:!?\"'()[]{}*#%&$"
-CACHED = 300_000
+CACHED = 100_000
 
 
 def _code_table() -> np.ndarray:
@@ -167,8 +167,9 @@ def features_of(word: str) -> list[str]:
 class Words:
     """The restored words of texts, with a cache of bounded size."""
 
-    def __init__(self, counts: np.ndarray) -> None:
+    def __init__(self, counts: np.ndarray, cached: int = CACHED) -> None:
         self.restorer = Restorer(counts)
+        self.cached = cached
         self.cache: dict[str, tuple[str, ...]] = {}
         self.rows: dict[str, tuple[tuple[str, ...], ...]] = {}
 
@@ -183,9 +184,10 @@ class Words:
                     read.update(restored.split())
                 read.update(w for row in SPACED.finditer(core) for way in self.row_readings(row[0]) for w in way)
             found = tuple(sorted(read))
-            if len(self.cache) >= CACHED:
+            if len(self.cache) >= self.cached:
                 self.cache.clear()
-            self.cache[word] = found
+            if self.cached:
+                self.cache[word] = found
         return found
 
     def row_readings(self, row: str) -> tuple[tuple[str, ...], ...]:
@@ -204,7 +206,7 @@ class Words:
             read = {self.restorer.restore(x, bounds) for x in parts for bounds in (False, True)}
             read.add(" ".join(self.restorer.restore(x) for x in re.split(" {2,}", row)))  # a wide gap ends a word
             found = tuple(sorted({tuple(x.split()) for x in read}))
-            if len(self.rows) >= CACHED // 10:
+            if len(self.rows) >= CACHED // 100:
                 self.rows.clear()
             self.rows[row] = found
         return found
@@ -238,7 +240,7 @@ class ToxicityModel:
 class Scorer:
     def __init__(self, model: ToxicityModel) -> None:
         self.model = model
-        self.words = Words(model.counts)
+        self.words = Words(model.counts, 0)  # the weights below stand for the readings
         self.cache: dict[str, float] = {}
 
     def weight(self, token: str) -> float:
@@ -261,18 +263,6 @@ class Scorer:
         return sum(heapq.nlargest(3, strong))
 
 
-_SCORERS: dict[tuple, Scorer] = {}
-
-
-def scorer(model: ToxicityModel) -> Scorer:
-    """One scorer for each model and worker, so that its caches last over tasks."""
-    key = (model.counts.tobytes()[:65536], len(model.weights), model.slope, model.offset, sum(model.weights.values()))
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model)
-    return _SCORERS[key]
-
-
 def evidence_of(spark: SparkSession, model: ToxicityModel) -> Callable:
     """A column function: the evidence of a text column."""
     ship(spark)
@@ -280,7 +270,7 @@ def evidence_of(spark: SparkSession, model: ToxicityModel) -> Callable:
 
     @F.pandas_udf(T.DoubleType())
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = scorer(shared.value)
+        own = Scorer(shared.value)  # its caches end with the task
         for batch in texts:
             yield batch.map(own.evidence, na_action=None).astype("float64")
 
