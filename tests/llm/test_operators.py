@@ -402,3 +402,55 @@ def test_token_counts(docs, small):
             want[(i, len(own), sum(map(count, own)))] += 1
         assert Counter(map(tuple, token_counts(df, path).collect())) == want
     assert token_counts(docs.limit(0), path).count() == 0
+
+
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+
+
+def test_base_rules_are_the_leftmost_matches():
+    import random
+    import re
+
+    from tidelog.llm.pii import base_spans
+
+    rng = random.Random(8)
+    for _ in range(4000):
+        text = "".join(rng.choices("a1.@-+ 2", weights=(3, 4, 5, 3, 1, 1, 1, 2), k=rng.randrange(40)))
+        want = [("email", m.start(), m.end()) for m in re.finditer(EMAIL, text)]
+        want += [("ip", m.start(), m.end()) for m in re.finditer(IP, text) if all(int(p) <= 255 for p in m[0].split("."))]
+        assert [s for s in base_spans(text) if s[0] in ("email", "ip")] == sorted(want, key=lambda s: (s[1], s[0] != "email"))
+
+
+def test_long_runs_are_read_once():
+    import time
+
+    from tidelog.llm.boosting import fit_trees
+    from tidelog.llm.pii import N_FEATURES, PiiModel, base_spans
+
+    million = 200_000
+    model = PiiModel(fit_trees(np.zeros((0, N_FEATURES)), np.zeros(0)), {})
+    for text in ("a" * million + " x@y.z", "1" * million, "." * million, "+" * million, "1." * million, "@" * million, "+1" + " " * million):
+        begin = time.perf_counter()
+        model.spans(text)
+        assert time.perf_counter() - begin < 20
+    assert base_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from tidelog.llm.stages import ngram_jaccard_stage, suffix_array_stage
+
+    long = PROSE * 3
+    rows = [(1, long, "de"), (2, "another text of some few words", None), (3, "x" * 10, "fr"), (4, long + "end", "de"), (None, None, None)]
+    names = ["_key", "_uid", "_spans", "_text", "id", "component", "row", "a.b", "doc", "uid"]
+    docs = spark.createDataFrame(
+        [(*r, {"k": "v"}, *(f"{n}-{r[0]}" for n in names)) for r in rows],
+        "doc_id long, text string, lang string, tags map<string,string>, " + ", ".join(f"`{n}` string" for n in names),
+    )
+    for stage, ids in ((ngram_jaccard_stage, {1, 2, 3, None}), (suffix_array_stage, {1, 2, 3, 4, None})):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert {r["doc_id"] for r in kept} == ids and len(kept) == len(ids)
+        for r in kept:
+            assert [r[n] for n in names] == [f"{n}-{r['doc_id']}" for n in names] and r["tags"] == {"k": "v"}

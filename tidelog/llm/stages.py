@@ -18,6 +18,12 @@ def with_text(docs: DataFrame, text) -> DataFrame:
     return docs
 
 
+def nested(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and the whole row as ``row``: names that a stage adds cannot clash with
+    those of other columns."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose restored text scores as toxic."""
     from tidelog.llm.toxicity import LEARNED, fit_toxicity, toxicity_score
@@ -34,16 +40,15 @@ def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     of one id and one text are."""
     from tidelog.llm.ngram_join import ngram_groups, row_key
 
-    groups = ngram_groups(docs, words=5, percent=80)
+    groups = ngram_groups(docs.select("doc_id", "text"), words=5, percent=80)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc")).alias("first")
     kept = groups.groupBy("component").agg(first).select(F.col("first.doc").alias("_key"))
-    rows = docs.withColumn("_key", row_key("doc_id", "text")).join(kept, "_key", "left_semi")
-    # Rows of one key have the same id and text; of their other columns the smallest stay.
-    others = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind]
-    whole = [F.first(c).alias(c) for c in docs.columns if c not in others]
-    least = [F.min(F.struct(*[F.col(c) for c in others])).alias("_others")] if others else []
-    rows = rows.groupBy("_key").agg(*whole, *least)
-    return rows.select(*[F.col(f"_others.{c}") if c in others else F.col(c) for c in docs.columns])
+    rows = nested(docs).withColumn("_key", row_key("doc_id", "text")).join(kept, "_key", "left_semi")
+    # Rows of one key have the same id and text; of their other columns the smallest stay,
+    # compared as text where they have no order (maps).
+    ordered = [F.col(f"row.`{c}`") if "map<" not in kind else F.to_json(f"row.`{c}`") for c, kind in docs.dtypes if c != "text"]
+    rows = rows.groupBy("_key").agg(F.min_by("row", F.struct(*ordered)).alias("row"))
+    return rows.select("row.*")
 
 
 def suffix_array_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +56,10 @@ def suffix_array_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     loses a byte goes with it."""
     from tidelog.llm.suffix_dedup import repeated_spans, without_spans
 
-    spans = cut(repeated_spans(docs))
-    return with_text(without_spans(docs, spans), F.col("text"))
+    spans = cut(repeated_spans(docs.select("doc_id", "text")))
+    left = without_spans(nested(docs), spans)
+    rows = left.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    return with_text(rows, F.col("text"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
