@@ -1,10 +1,12 @@
 """Frontiers, runs and gaps against brute force."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.operators import numbering, runs
 from tidelog.operators.runs import (
     ack_frontier,
     ack_frontier_bucketed,
@@ -112,3 +114,52 @@ def test_hot_queue_is_spread(spark):
     shares = words.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert sum(r["count"] for r in shares) == 100_001 // 32 + 1
     assert ack_frontier(acks, ["queue"]).first()["frontier"] == 100_000
+
+
+@pytest.mark.parametrize("start", [0, 5])
+def test_pending_acks_by_words(spark, start):
+    """Dense, holed and far ids around the borders of words, against sets."""
+    rng = random.Random(start)
+    groups = {"full": range(1, 97), "absent": range(65, 70), "far": [1, 2, 10**12], "stale": [1, 2], "border": [*range(1, 33), 34, 64, 65], "next": [*range(6, 38), *range(70, 72)]}
+    for k in range(60):
+        groups[f"r{k}"] = [i for i in range(1, 140) if rng.random() < rng.choice((0.5, 0.95, 0.999))] or [3]
+    df = spark.createDataFrame([(g, i) for g, ids in groups.items() for i in ids], "q string, id long")
+    want = {}
+    for g, ids in groups.items():
+        own = {i for i in ids if i > start}
+        if own:
+            p = start
+            while p + 1 in own:
+                p += 1
+            waits = {i for i in own if i > p}
+            want[g] = (p, len(waits), min(waits, default=None), max(waits, default=None))
+    found = runs.pending_acks(df, ["q"], start)
+    assert {r["q"]: tuple(r)[1:] for r in found.collect()} == want
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gaps_in_a_tree_of_blocks(spark, monkeypatch):
+    """One hot queue with ids up to 10 ** 12, and trees of many levels."""
+    rng = random.Random(2)
+    ids = sorted({rng.randrange(1, 10 ** rng.randrange(1, 13)) for _ in range(2000)} | {10**12})
+    df = spark.createDataFrame([("hot", i) for i in ids] + [("one", 1)], "q string, id long")
+    want = sorted(("hot", a + 1, b - 1, b - a - 1) for a, b in zip([0, *ids], ids) if b - a > 1)
+    for fan, block in ((runs.FAN, runs.BLOCK), (4, 32)):
+        monkeypatch.setattr(runs, "FAN", fan)
+        found = runs.log_gaps(df, ["q"], block=block)
+        assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    for window in re.findall(r"hashpartitioning\(([^)]*)\)", plan):
+        assert not re.fullmatch(r"q#\d+, \d+", window)
+    assert runs.log_gaps(df.limit(0), ["q"]).collect() == []
+
+
+def test_positions_take_one_range_exchange(spark):
+    rng = random.Random(3)
+    ids = rng.sample(range(1, 5000), 700)
+    log = spark.createDataFrame([(i, str(i)) for i in ids], "id long, data string").repartition(5)
+    found = numbering.ordered_positions(log, 64)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning(") == 1
+    assert [(r["id"], r["position"]) for r in found.collect()] == [(i, k + 1) for k, i in enumerate(sorted(ids))]
+    assert numbering.ordered_positions(log.limit(0)).collect() == []

@@ -76,9 +76,35 @@ def ordered_log(log: DataFrame) -> DataFrame:
     return log.orderBy("id")
 
 
-def ordered_positions(log: DataFrame) -> DataFrame:
-    """:func:`ordered_log` with the position of every row."""
-    return ordered_log(dense_ids(log, ["id"], id_col="position"))
+#: Ids of one row of a rank directory.
+DIRECTORY_IDS = 1 << 20
+
+
+def ordered_positions(log: DataFrame, block: int = DIRECTORY_IDS) -> DataFrame:
+    """:func:`ordered_log` with the ``position`` of every row; ids are unique.
+
+    A directory tells how many rows lie before each block of ids; it has one row for each
+    ``block`` ids and is broadcast. The rows are dealt by ranges of blocks once and sorted
+    inside the tasks, where the rank in a block is counted: partition after partition they
+    are in id order, so nothing is sorted again."""
+    spark = log.sparkSession
+    ident = F.col("id").cast("long")
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    directory = (
+        log.groupBy(floor_div(ident, block).alias("_block"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select("_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    )
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rank = F.row_number().over(Window.partitionBy("_block").orderBy("id"))
+    return (
+        log.withColumn("_block", floor_div(ident, block))
+        .repartitionByRange(parts, "_block")
+        .withColumn("_rank", rank)
+        .join(F.broadcast(directory), "_block")
+        .withColumn("position", F.col("_before") + F.col("_rank"))
+        .drop("_block", "_rank", "_before")
+    )
 
 
 def read_range(log: DataFrame, after: int, upto: int, limit: int | None = None) -> DataFrame:

@@ -141,39 +141,85 @@ def islands(df: DataFrame, keys: list[str], ident: str = "id", block: int = BLOC
     )
 
 
-def pending_acks(
-    acks: DataFrame, keys: list[str], start: int = 0, ident: str = "id", block: int = BLOCK
-) -> DataFrame:
+def pending_acks(acks: DataFrame, keys: list[str], start: int = 0, ident: str = "id") -> DataFrame:
     """``keys, frontier, pending, min_pending, max_pending``: distinct acks that wait
-    beyond the first hole. Ids at or below ``start`` are stale and dropped."""
-    live = acks.where(F.col(ident) > start)
-    leading = F.col("first_id") == start + 1
-    frontier = F.coalesce(F.max(F.when(leading, F.col("last_id"))), F.lit(start).cast("long"))
-    return (
-        islands(live, keys, ident, block)
-        .groupBy(*keys)
-        .agg(
-            frontier.alias("frontier"),
-            F.coalesce(F.sum(F.when(~leading, F.col("ids"))), F.lit(0).cast("long")).alias("pending"),
-            F.min(F.when(~leading, F.col("first_id"))).alias("min_pending"),
-            F.max(F.when(~leading, F.col("last_id"))).alias("max_pending"),
-        )
+    beyond the first hole. Ids at or below ``start`` are stale and dropped.
+
+    All of it is read off the words of a key by two hash aggregates. The bits before the
+    first hole are set, so those that wait are all bits less these. The first of them is the
+    first set bit after the hole of its word, or the lowest bit of the next word that
+    exists; that word does not follow a full one, and words before the hole are full, follow
+    full ones, and have no bit after a hole, so a minimum over all words finds it.
+    """
+    words = word_masks(acks.where(F.col(ident) > start), keys, F.col(ident).cast("long") - (start + 1))
+    mask, word = F.col("mask"), F.col("word")
+    own = F.struct(word, mask, F.lit(False).alias("led"))
+    led = F.struct((word + 1).alias("word"), F.lit(0).cast("long").alias("mask"), F.lit(True).alias("led"))
+    slots = (
+        words.select(*keys, F.explode(F.when(mask == FULL, F.array(own, led)).otherwise(F.array(own))).alias("w"))
+        .groupBy(*keys, "w.word")
+        .agg(F.bit_or("w.mask").alias("mask"), F.max("w.led").alias("led"))
+    )
+    base = word * WORD + (start + 1)
+    ones = trailing_ones(mask)
+    later = F.call_function("shiftright", mask, (ones + 1).cast("int"))
+    after_hole = F.when(later != 0, base + ones + 1 + trailing_zeros(later))
+    lowest = F.when((mask != 0) & (word > 0) & ~F.col("led"), base + trailing_zeros(mask))
+    highest = F.when(mask != 0, base + F.length(F.bin(mask)) - 1)
+    found = slots.groupBy(*keys).agg(
+        F.when(F.min("word") == 0, F.min(F.when(mask != FULL, base + ones)) - 1).otherwise(F.lit(start)).cast("long").alias("frontier"),
+        F.sum(F.bit_count(mask)).alias("_all"),
+        F.min(F.least(after_hole, lowest)).alias("_first"),
+        F.max(highest).alias("_last"),
+    )
+    pending = F.col("_all") - (F.col("frontier") - start)
+    return found.select(
+        *keys,
+        "frontier",
+        pending.alias("pending"),
+        F.when(pending > 0, F.col("_first")).alias("min_pending"),
+        F.when(pending > 0, F.col("_last")).alias("max_pending"),
     )
 
 
+#: Children of a node in the tree of blocks, and the ids beyond which it has one root.
+FAN = 1 << 16
+IDS = 1 << 62
+
+
 def log_gaps(
     df: DataFrame, keys: list[str], start: int = 0, ident: str = "id", block: int = BLOCK
 ) -> DataFrame:
     """``keys, from_id, to_id, missing``: the holes above ``start``, the one before the
-    first id included. Holes inside a block come from its own runs; those across
-    blocks from one summary row per block."""
+    first id included.
+
+    Holes inside a block come from its own runs. Those across blocks are found in a tree over
+    the blocks of a key: every node knows its smallest and largest id, and a hole lies before
+    each child that has an occupied sibling before it. So a window holds the children of one
+    node, never a key, however far apart its ids are.
+    """
     runs = _block_runs(df.where(F.col(ident) > start), keys, ident, block)
     upcoming = F.lead("lo").over(Window.partitionBy(*keys, "_block").orderBy("lo"))
     inner = runs.select(*keys, F.col("hi").alias("_from"), upcoming.alias("_to")).where(F.col("_to").isNotNull())
+    levels = [0]
+    while block * FAN ** levels[-1] < IDS:
+        levels.append(levels[-1] + 1)
+
+    def ancestor(level: int) -> Column:
+        return floor_div(F.col("_block"), FAN**level) if FAN**level < IDS else F.lit(0).cast("long")
+
+    nodes = F.array(
+        *[F.struct(F.lit(k).alias("level"), ancestor(k + 1).alias("parent"), ancestor(k).alias("child")) for k in levels]
+    )
     blocks = runs.groupBy(*keys, "_block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    per_key = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_block")
-    previous = F.lag("hi", 1, start).over(per_key)
-    across = blocks.select(*keys, previous.cast("long").alias("_from"), F.col("lo").alias("_to"))
+    tree = (
+        blocks.select(*keys, F.explode(nodes).alias("n"), "lo", "hi")
+        .groupBy(*keys, "n.level", "n.parent", "n.child")
+        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    )
+    before = F.lag("hi").over(Window.partitionBy(*keys, "level", "parent").orderBy("child"))
+    root = F.when(F.col("level") == levels[-1], F.lit(start).cast("long"))
+    across = tree.select(*keys, F.coalesce(before, root).alias("_from"), F.col("lo").alias("_to"))
     return (
         inner.unionByName(across)
         .where(F.col("_to") - F.col("_from") > 1)

@@ -167,7 +167,7 @@ def w3(spark, sf):
 
 @R.add("o1_ordered_log", f"WITH {EVENTS_LOG} SELECT id, hex(data) AS data, row_number() OVER (ORDER BY id) AS position FROM log")
 def o1(spark, sf):
-    return numbering.ordered_positions(events_log(spark, sf).select("id", F.hex("data").alias("data")))
+    return numbering.ordered_positions(events_log(spark, sf).select("id", F.hex("data").alias("data")), BLOCK_IDS)
 
 
 @R.add(
