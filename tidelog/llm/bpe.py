@@ -263,10 +263,10 @@ def load(path: str) -> PairIndexBpe:
     return PairIndexBpe(path)
 
 
-def blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, pa.Array]]:
-    """Parts of a batch of about BLOCK_CHARS characters, with the row each begins at."""
+def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_CHARS) -> Iterator[tuple[int, pa.Array]]:
+    """Parts of a batch of about ``size`` bytes, with the row each begins at."""
     texts = texts_of(batch.column(batch.schema.get_field_index(column)))
-    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // BLOCK_CHARS
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // size
     cuts = [0, *(np.flatnonzero(sizes[1:] != sizes[:-1]) + 1).tolist(), len(sizes)]
     for start, end in zip(cuts[:-1], cuts[1:], strict=True):
         if end > start:

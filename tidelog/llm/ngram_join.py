@@ -44,6 +44,8 @@ from tidelog.session import cut, ship
 #: Text of one range of shingle hashes, about, in bytes.
 RANGE_BYTES = 8 << 20
 LEAST_RANGES = 64
+#: Text whose shingles a task makes at once, about, in bytes; they take some 20 times that.
+STEP_BYTES = 4 << 20
 #: Sets of one block, about.
 BLOCK_SETS = 384
 #: Shingles whose overlaps are counted at once.
@@ -93,7 +95,7 @@ def set_directory(docs: DataFrame, words: int, id_col: str, text_col: str) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in blocks(batch, "_text"):
+            for first, texts in blocks(batch, "_text", STEP_BYTES):
                 row, value = shingles(texts, words)
                 n = np.bincount(row, minlength=len(texts))
                 k1, k2 = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
@@ -148,7 +150,7 @@ def text_incidence(docs: DataFrame, words: int, bits: int, id_col: str, text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, texts in blocks(batch, "_text"):
+            for first, texts in blocks(batch, "_text", STEP_BYTES):
                 row, value = shingles(texts, words)
                 sizes = np.bincount(row, minlength=len(texts))
                 yield packed(ids[first : first + len(texts)], sizes, row, value, bits)
