@@ -150,3 +150,24 @@ def test_fetch_as_is_strict(spark):
         sqlbook.fetch_as(df.withColumn("more", F.lit(1)), shape)
     with pytest.raises(ValueError, match="missing"):
         sqlbook.fetch_as(df.drop("name"), shape)
+
+
+def test_path_algebra(spark):
+    cases = {
+        "/a//b/f": ("/a/b/f", "/a/c", "b/f"),
+        "/a/./b/../c": ("/a/c", "/a", "c"),
+        "/../x": ("/x", "/x", ""),
+        "../k/../m": ("../m", "../n", "m"),
+        "./": (".", "q", ""),
+        "": (".", "", ""),
+        "/": ("/", "/a/b", ""),
+        "/p/q": ("/p/q", "/p/q/r", ""),
+        "/p/q/r/s": ("/p/q/r/s", "/p/q", "r/s"),
+        "/p/q/r": ("/p/q/r", "/z", "p/q/r"),
+    }
+    df = spark.createDataFrame([(p, b) for p, (_, b, _) in cases.items()], "p string, b string")
+    found = {r["p"]: (r["n"], r["b"], r["r"]) for r in df.select("p", "b", names.normal_path(F.col("p")).alias("n"), names.rest_after(F.col("p"), F.col("b")).alias("r")).collect()}
+    assert found == cases
+    paths = spark.createDataFrame([("/a//b/f",), ("/a/b/f",), ("/a/x/../b/g",), ("/top",), ("",)], "path string")
+    rolled = {r["dir"]: (r["depth"], r["files"], r["names"]) for r in names.path_rollup(paths, "path").collect()}
+    assert rolled == {"": (0, 5, 4), "/a": (1, 3, 2), "/a/b": (2, 3, 2)}

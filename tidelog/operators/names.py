@@ -79,11 +79,66 @@ def subtract_path(path: Column, base: Column) -> Column:
     return F.when(F.startswith(path, base), F.substring(path, F.length(base) + 1, F.length(path)))
 
 
+def is_absolute(path: Column) -> Column:
+    return F.startswith(path, F.lit("/"))
+
+
+def components(path: Column) -> Column:
+    """The names a path goes through: a fold over its parts with a stack, where nothing and
+    ``.`` stay, ``..`` takes the last name away, and any other part is put on. Above the root
+    is the root; a relative path keeps the ``..`` that it begins with."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    nothing = F.expr("CAST(array() AS array<string>)")
+
+    def step(stack: Column, part: Column) -> Column:
+        inside = (F.size(stack) > 0) & (F.try_element_at(stack, F.lit(-1)) != "..")
+        up = part == ".."
+        return (
+            F.when(up & inside, F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0))))
+            .when(up & is_absolute(path), stack)
+            .otherwise(F.concat(stack, F.array(part)))
+        )
+
+    return F.aggregate(parts, nothing, step)
+
+
+def normal_path(path: Column) -> Column:
+    """The shortest path with the same meaning; ``.`` for an empty relative one."""
+    joined = F.array_join(components(path), "/")
+    return F.when(is_absolute(path), F.concat(F.lit("/"), joined)).when(joined == "", ".").otherwise(joined)
+
+
+def shared_components(a: Column, b: Column) -> Column:
+    """How many components two arrays begin with in common."""
+    pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
+    step = F.aggregate(
+        pairs,
+        F.struct(F.lit(0).alias("n"), F.lit(True).alias("same")),
+        lambda so_far, p: F.struct(
+            (so_far["n"] + F.when(so_far["same"] & p["a"].eqNullSafe(p["b"]), 1).otherwise(0)).alias("n"),
+            (so_far["same"] & p["a"].eqNullSafe(p["b"])).alias("same"),
+        ),
+    )
+    return step["n"]
+
+
+def rest_after(path: Column, base: Column) -> Column:
+    """The components of ``path`` after its first difference from ``base``, as a path; empty
+    where it lies at or above the base."""
+    own = components(path)
+    shared = shared_components(own, components(base))
+    return F.array_join(F.slice(own, shared + 1, F.size(own)), "/")
+
+
 def path_rollup(df: DataFrame, path: str) -> DataFrame:
     """``dir, depth, files, names``: rows and distinct file names below each ancestor
-    directory. Equal paths are counted once before they are spread over ancestors."""
+    directory, in normal form. Equal paths are counted once before they are spread over
+    ancestors."""
     counted = df.groupBy(F.col(path).alias("_path")).agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.split(dir_name(F.col("_path")), "/")
+    folder = dir_name(F.col("_path"))
+    # the root is an empty first part, which a folder without any name has too
+    rooted = is_absolute(folder) | (F.size(components(folder)) == 0)
+    parts = F.when(rooted, F.concat(F.array(F.lit("")), components(folder))).otherwise(components(folder))
     spread = counted.select(
         "_n",
         file_name(F.col("_path")).alias("_file"),
