@@ -16,9 +16,9 @@ BLOCK_BYTES = 32 << 20
 LEAST_BLOCKS = 24
 
 
-def block_count(docs: DataFrame, text_col: str, least: int = LEAST_BLOCKS) -> int:
+def block_count(docs: DataFrame, text_col: str, least: int = LEAST_BLOCKS, block_bytes: int = BLOCK_BYTES) -> int:
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long")).alias("b")).first()["b"] or 0
-    return max(least, -(-size // BLOCK_BYTES))
+    return max(least, -(-size // block_bytes))
 
 
 def to_blocks(rows: DataFrame, blocks: int) -> DataFrame:

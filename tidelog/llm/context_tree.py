@@ -43,6 +43,8 @@ from tidelog.session import ship, work_path
 
 DEPTH = 5
 LEAST_BLOCKS = 12
+#: Text of one block, about, in bytes: a task holds its distinct n-grams, not the text.
+BLOCK_BYTES = 16 << 20
 END = 0xFF
 #: Bytes whose n-grams are looked at together.
 STEP = 1 << 20
@@ -87,6 +89,29 @@ def counted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return distinct, np.bincount(codes, weights, len(distinct)).astype(np.int64)
 
 
+class Folded:
+    """Distinct keys and their sums, folded together whenever what came since has grown as
+    large as what is folded, so that at most about twice the distinct keys are held."""
+
+    def __init__(self) -> None:
+        self.keys, self.sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.later: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray, sums: np.ndarray) -> None:
+        self.later.append((keys, sums))
+        self.waiting += len(keys)
+        if self.waiting > len(self.keys):
+            self.fold()
+
+    def fold(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.later:
+            parts = [(self.keys, self.sums), *self.later]
+            self.later, self.waiting = [], 0
+            self.keys, self.sums = counted(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        return self.keys, self.sums
+
+
 def block_counts(dealt: DataFrame, depth: int, bits: int) -> DataFrame:
     """``block, word, range, keys, counts``: the distinct words (by hash) and n-grams of every
     block, and how often each stands in its training texts, by range of the mixed key."""
@@ -94,22 +119,22 @@ def block_counts(dealt: DataFrame, depth: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches_by(batches, "block"):
             block = table.column("block")[0].as_py()
-            found: tuple[list, list] = ([], [])
+            found = (Folded(), Folded())
             for rows in unpacked(table.column("load")):
                 train = rows.column("train").to_numpy(zero_copy_only=False)
                 texts = texts_of(rows.column("text"))
                 for first, part in steps(texts):
                     mark = train[first : first + len(part)].astype(float)
                     keys, sizes = grams(part, depth)
-                    found[0].append(counted(keys, np.repeat(mark, sizes)))
+                    found[0].add(*counted(keys, np.repeat(mark, sizes)))
                     words, sizes = ascii_words(part)
                     encoded = words.dictionary_encode()
                     codes = encoded.indices.to_numpy(zero_copy_only=False)
                     hashes = term_hashes(encoded.dictionary).view(np.int64)
                     n = np.bincount(codes, np.repeat(mark, sizes), len(hashes)).astype(np.int64)
-                    found[1].append((hashes, n))
-            for word, parts in enumerate(found):
-                keys, n = counted(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                    found[1].add(hashes, n)
+            for word, own in enumerate(found):
+                keys, n = own.fold()
                 part = range_of(keys, bits)
                 order = np.lexsort((keys.view(np.uint64), part))
                 keys, n = keys[order], n[order]
@@ -139,14 +164,12 @@ def summed(found: DataFrame) -> DataFrame:
     """``range, key, n``: the counts of all blocks together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict[int, Folded] = {}
         for batch in batches:
             for part, keys, load in zip(*(batch.column(c).to_pylist() for c in ("range", "keys", "load")), strict=True):
-                held.setdefault(part, []).append((unpack_sorted(keys).view(np.int64), unpack(load, np.int64)))
-                if len(held[part]) >= 16:  # a range of many blocks is summed as it comes
-                    held[part] = [counted(*(np.concatenate(x) for x in zip(*held[part], strict=True)))]
-        for part, own in held.items():
-            keys, n = counted(*(np.concatenate(x) for x in zip(*own, strict=True)))
+                held.setdefault(part, Folded()).add(unpack_sorted(keys).view(np.int64), unpack(load, np.int64))
+        for part in list(held):
+            keys, n = held.pop(part).fold()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(keys), part), pa.int32()), pa.array(keys), pa.array(n)], ["range", "key", "n"]
             )
@@ -332,7 +355,7 @@ def score_texts(
     every row: the context tree's log10 probability of the text, learned from the rows where
     ``training`` holds, beside that of single words with one added to each count."""
     ship(docs.sparkSession)
-    blocks = block_count(docs, text_col, least=LEAST_BLOCKS)
+    blocks = block_count(docs, text_col, least=LEAST_BLOCKS, block_bytes=BLOCK_BYTES)
     rows = docs.select(
         F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int").alias("block"),
         F.col(id_col).alias("id"),
