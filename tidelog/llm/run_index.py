@@ -74,14 +74,22 @@ def build(segments: list[bytes]) -> tuple[RunIndex, np.ndarray]:
         alone = new_key & np.append(new_key[1:], True)
         return out, sorted_[~alone]
 
+    # Up to seven bytes by packing: 257^7 is below 2^63.
     step = 1
-    while step < longest and step < 4:  # up to four bytes by packing
-        beyond = np.zeros(size, np.int64)
+
+    def beyond(rank: np.ndarray, step: int) -> np.ndarray:
+        """The ranks ``step`` places on, 0 behind the end of the segment."""
+        out = np.zeros(size, np.int64)
         inside = left >= step
-        beyond[inside] = rank[order[inside] + step]
-        levels.append((step, rank))
-        rank = rank * (257 if step == 1 else 257**2) + beyond
-        step *= 2
+        out[inside] = rank[order[inside] + step]
+        return out
+
+    for more in (1, 2, 3):
+        if step < longest:
+            levels.append((step, rank))
+            # Of the next bytes, as many as are wanted: the rest of a rank are its last digits.
+            rank = rank * 257**more + beyond(rank, step) // 257 ** (step - more)
+            step += more
     if size:
         by = np.argsort(rank)
         fresh = np.concatenate([[True], rank[by][1:] != rank[by][:-1]])
@@ -104,15 +112,12 @@ def build(segments: list[bytes]) -> tuple[RunIndex, np.ndarray]:
     def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The match length of the texts from a and from b, not beyond a segment."""
         length = np.zeros(len(a), np.int64)
-        a, b = a.copy(), b.copy()
         most = np.minimum(left[a], left[b])
-        for step, own in [*reversed(levels)]:
-            for _ in range(2):
-                fits = most - length >= step
-                fits[fits] = own[(a + length)[fits]] == own[(b + length)[fits]]
-                if not fits.any():
-                    break
-                length[fits] += step
+        # What is left is shorter than twice a step, so each step is taken once at most.
+        for step, own in reversed(levels):
+            fits = np.flatnonzero(most - length >= step)
+            fits = fits[own[a[fits] + length[fits]] == own[b[fits] + length[fits]]]
+            length[fits] += step
         return length
 
     def samples(at: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
