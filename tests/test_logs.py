@@ -106,6 +106,50 @@ def test_salted_equals_broadcast(spark, how):
     assert sorted(map(tuple, wide.collect()), key=str) == sorted(map(tuple, spread.collect()), key=str)
 
 
+def test_only_hot_keys_are_split(spark):
+    big = spark.range(9000).selectExpr("if(id % 3 = 0, 'hot', 'k' || id % 5000) AS queue", "id")
+    small = spark.createDataFrame([("hot", 1)] + [(f"k{n}", n) for n in range(5000)], "queue string, v int")
+    hot = joins.hot_keys(big, ["queue"], 64)
+    assert len(hot) == 1 and big.where(F.xxhash64("queue").isin(hot)).select("queue").distinct().collect() == [("hot",)]
+    left, right = joins.sides(big, small, ["queue"], F.xxhash64("queue").isin(hot), ["id"], 64)
+    assert right.count() == 5000 + 64 and left.where("queue = 'hot'").select("_salt").distinct().count() == 64
+    assert left.where("queue <> 'hot' AND _salt <> 0").count() == 0
+    joined = joins.salted(big, small, ["queue"], spread=["id"], parts=64)
+    assert joined.count() == 9000 and joined.agg(F.sum("v")).first() == big.join(small, "queue").agg(F.sum("v")).first()
+    cold = spark.range(9000).selectExpr("'k' || id % 5000 AS queue", "id")
+    assert joins.hot_keys(cold, ["queue"], 64) == []
+    plan = joins.salted(cold, small, ["queue"], spread=["id"], parts=64)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "_salt" not in plan
+    nulls = spark.range(900).selectExpr("if(id % 2 = 0, null, 'k' || id) AS queue", "id")
+    assert joins.salted(nulls, small, ["queue"], "left", spread=["id"], parts=64).count() == 900
+    other = small.selectExpr("int(v) AS id", "v")
+    assert joins.salted(big, other, ["id"]).count() == 5001  # key types differ; 1 stands twice
+
+
+def test_sides_are_computed_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [("q", "", 90), *[("q", f"c{n}", n) for n in range(50)]]
+    table = spark.createDataFrame(rows, "queue string, consumer string, ptr long")
+    table = table.mapInArrow(counted, table.schema)
+    acks = spark.range(100).selectExpr("'q' AS queue", "'c' || id % 50 AS consumer", "id")
+    log = spark.range(1, 101).selectExpr("'q' AS queue", "id", "1 AS shard", "cast('x' AS binary) AS data")
+    for operator, want in [
+        (lambda: delivery.drop_stale_acks(acks, table), 50),
+        (lambda: delivery.consumer_lag(table), 50),
+        (lambda: delivery.next_windows(table, 5), 50),
+        (lambda: delivery.undelivered(log, table), sum(90 - n for n in range(50))),
+    ]:
+        before = read.value
+        assert len(operator().collect()) == want
+        assert read.value - before == len(rows)
+
+
 def test_reports(spark):
     rows = [("q", 1, 1, b"ab", 0, 5), ("q", 2, 2, b"c", 0, 2_000_000), ("q", 5, 1, b"", 1, 1), ("q", 5, 3, b"", 1, 1)]
     log = spark.createDataFrame(rows, "queue string, id long, shard int, data binary, batch long, micros long")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.functions.typed_text import typed_columns, typed_errors
+from tidelog.functions.typed_text import instant_nanos, instant_of, nanos_between, typed_columns, typed_errors
 from tidelog.operators import names
 from tidelog.plans import sqlbook
 
@@ -68,6 +68,36 @@ def test_times(spark):
     assert (counts["column"], counts["present"], counts["errors"]) == ("t", 8, 5)
 
 
+INSTANTS = {
+    "2031-05-06T07:08:09.123456789Z": (1935817689, 123_456_789),
+    "2031-05-06T07:08:09.1234567891Z": (1935817689, 123_456_789),
+    "2031-05-06T07:08:09,000000001+01:00": (1935814089, 1),
+    "2031-05-06T07:08:09Z": (1935817689, 0),
+    "1969-12-31T23:59:59.9Z": (-1, 900_000_000),
+    "1969-12-31T23:59:58Z": (-2, 0),
+    "2031-05-06": None,
+    "2031-02-30T00:00:00.1Z": None,
+    "2031-05-06T07:08:09.Z": None,
+}
+
+
+def test_instants(spark):
+    df = spark.createDataFrame([(t,) for t in [*INSTANTS, None]], "t string")
+    for r in typed_columns(df, {"t": "instant"}).collect():
+        want = INSTANTS.get(r["t"])
+        assert (tuple(r["t_instant"]) if r["t_instant"] else None) == want, r["t"]
+        assert r["t_error"] == (r["t"] is not None and want is None) and (r["t_offset"] is None) == (want is None)
+
+
+def test_instants_in_order(spark):
+    pairs = [((-1, 999_999_999), (0, 0), 1), ((5, 3), (5, 2), -1), ((-(10**10), 0), (10**10, 0), None), ((7, 7), (7, 7), 0)]
+    kind = "struct<seconds: long, nanos: int>"
+    df = spark.createDataFrame([(a, b, w) for a, b, w in pairs], f"a {kind}, b {kind}, w long")
+    a, b = F.col("a"), F.col("b")
+    for r in df.select("*", nanos_between(a, b).alias("gap"), (a < b).alias("less"), instant_of(instant_nanos(a)).alias("back")).collect():
+        assert r["gap"] == r["w"] and r["less"] == (r["a"] < r["b"]) and r["back"] == r["a"]
+
+
 def test_scopes(spark):
     df = spark.createDataFrame([("a.b.c",), ("",)], "s string")
     assert [r[0] for r in df.select(names.scope_chain(F.col("s"))).collect()] == [["a.b.c", "a.b", "a", ""], [""]]
@@ -80,6 +110,16 @@ def test_longest_prefix(spark):
     assert found == {1: 10, 2: 11, 3: 11, 4: None, 5: 12}
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_longest_prefix_of_a_hot_pair(spark, limit):
+    refs = spark.range(4000).selectExpr("id AS k", "if(id % 2 = 0, 'a.b', 's' || id % 700) AS scope", "if(id % 2 = 0, 'T', 'n' || id % 90) AS name")
+    defs = spark.range(90).selectExpr("'n' || id AS full_name", "int(id) AS def").unionByName(
+        spark.createDataFrame([("a.T", 500), ("T", 600), ("s7.n7", 700)], "full_name string, def int"))
+    found = {r["k"]: r["def"] for r in names.longest_prefix_join(refs, defs, limit).collect()}
+    want = {k: 500 if k % 2 == 0 else 700 if k % 700 == 7 and k % 90 == 7 else k % 90 for k in range(4000)}
+    assert found == want
+
+
 def test_common_path(spark):
     groups = {
         "three": ["/srv/media/2031/jun/x.raw", "/srv/media/2031/july", "/srv/media/20"],

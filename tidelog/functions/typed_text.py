@@ -75,10 +75,43 @@ def rfc3339_time(text: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(instant) - rfc3339_offset(text).cast("long") * 1_000_000)
 
 
+def rfc3339_instant(text: Column) -> Column:
+    """``seconds`` since 1970 and ``nanos`` within the second of a strict RFC 3339 text, to
+    the nanosecond; null when malformed. Instants compare as structs, in order of time.
+    Digits of a fraction beyond the ninth are cut off."""
+    whole = rfc3339_time(F.regexp_replace(text, "[.,][0-9]+", ""))
+    digits = F.regexp_extract(text, "[.,]([0-9]+)", 1)
+    nanos = F.rpad(F.substring(digits, 1, 9), 9, "0").cast("int")
+    valid = F.rlike(text, F.lit(RFC3339)) & whole.isNotNull()
+    return F.when(valid, F.struct(F.unix_seconds(whole).alias("seconds"), nanos.alias("nanos")))
+
+
+def instant_nanos(instant: Column) -> Column:
+    """Nanoseconds since 1970, exact for every year, and one number that aggregates combine
+    before they shuffle."""
+    seconds = instant["seconds"].cast("decimal(19,0)")
+    return (seconds * F.lit(1_000_000_000).cast("decimal(10,0)") + instant["nanos"]).cast("decimal(30,0)")
+
+
+def instant_of(nanos: Column) -> Column:
+    """The instant so many nanoseconds after 1970, or before it where negative."""
+    second = F.lit(1_000_000_000).cast("decimal(10,0)")
+    # The remainder is taken first: quotients of decimals are rounded.
+    rest = F.pmod(nanos.cast("decimal(30,0)"), second)
+    seconds = ((nanos.cast("decimal(30,0)") - rest) / second).cast("bigint")
+    return F.when(nanos.isNotNull(), F.struct(seconds.alias("seconds"), rest.cast("int").alias("nanos")))
+
+
+def nanos_between(start: Column, end: Column) -> Column:
+    """Nanoseconds from one instant to another; null when beyond a long."""
+    gap = instant_nanos(end) - instant_nanos(start)
+    return F.when(gap.between(-MAX_LONG - 1, MAX_LONG), gap.cast("bigint"))
+
+
 def typed_columns(df: DataFrame, specs: dict[str, str]) -> DataFrame:
     """Add typed columns for text columns. ``duration`` gives ``<c>_ns``, ``time`` gives
-    ``<c>_time`` and ``<c>_offset``; ``<c>_error`` marks text that is neither absent nor
-    well-formed."""
+    ``<c>_time`` and ``<c>_offset``, ``instant`` gives ``<c>_instant`` (to the nanosecond) and
+    ``<c>_offset``; ``<c>_error`` marks text that is neither absent nor well-formed."""
     added: dict[str, Column] = {}
     for name, kind in specs.items():
         if kind == "duration":
@@ -86,6 +119,9 @@ def typed_columns(df: DataFrame, specs: dict[str, str]) -> DataFrame:
         elif kind == "time":
             typed = added[f"{name}_time"] = rfc3339_time(F.col(name))
             added[f"{name}_offset"] = F.when(typed.isNotNull(), rfc3339_offset(F.col(name)))
+        elif kind == "instant":
+            typed = added[f"{name}_instant"] = rfc3339_instant(F.col(name))
+            added[f"{name}_offset"] = F.when(typed.isNotNull(), rfc3339_offset(F.col(name)))
         else:
             raise ValueError(f"unknown type: {kind}")
         added[f"{name}_error"] = F.col(name).isNotNull() & typed.isNull()

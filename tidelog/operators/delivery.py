@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from tidelog.operators.numbering import shard_of
 from tidelog.operators.runs import ack_frontier
-from tidelog.plans.joins import attach
+from tidelog.plans.joins import attach, kept
 from tidelog.schemas import WRITER
-from tidelog.session import cut
 
 
 def where_ids(log: DataFrame, ids: DataFrame, shards: int) -> DataFrame:
@@ -23,17 +22,19 @@ def where_ids(log: DataFrame, ids: DataFrame, shards: int) -> DataFrame:
 
 def drop_stale_acks(acks: DataFrame, pointers: DataFrame) -> DataFrame:
     """Acks above the consumer's pointer; a consumer without a row is at 0."""
-    known = pointers.select("queue", "consumer", "ptr")
-    live = attach(acks, known, ["queue", "consumer"], "left", spread=["id"])
+    known, size = kept(pointers.select("queue", "consumer", "ptr"))
+    live = attach(acks, known, ["queue", "consumer"], "left", spread=["id"], size=size)
     return live.where(F.col("id") > F.coalesce("ptr", F.lit(0))).drop("ptr")
 
 
 def pointer_pairs(pointers: DataFrame) -> DataFrame:
     """``queue, consumer, reader, writer``: each reader next to its queue's writer; a
     queue without a writer row was never written."""
-    writers = pointers.where(F.col("consumer") == WRITER).select("queue", F.col("ptr").alias("_w"))
-    readers = pointers.where(F.col("consumer") != WRITER)
-    return attach(readers, writers, ["queue"], "left", spread=["consumer"]).select(
+    written = F.col("consumer") == WRITER
+    known, size = kept(pointers.select("queue", "consumer", "ptr"), of=written)
+    writers = known.where(written).select("queue", F.col("ptr").alias("_w"))
+    readers = known.where(F.col("consumer") != WRITER)
+    return attach(readers, writers, ["queue"], "left", spread=["consumer"], size=size).select(
         "queue",
         "consumer",
         F.col("ptr").alias("reader"),
@@ -61,9 +62,8 @@ def next_windows(pointers: DataFrame, limit: int) -> DataFrame:
 
 def undelivered(log: DataFrame, pointers: DataFrame) -> DataFrame:
     """Per consumer, the rows after its pointer up to the writer pointer."""
-    pairs = pointer_pairs(pointers).where(F.col("writer") > F.col("reader"))
-    pairs = cut(pairs)
-    joined = attach(log, pairs, ["queue"], spread=["id"])
+    pairs, size = kept(pointer_pairs(pointers).where(F.col("writer") > F.col("reader")))
+    joined = attach(log, pairs, ["queue"], spread=["id"], size=size)
     return joined.where((F.col("id") > F.col("reader")) & (F.col("id") <= F.col("writer"))).drop(
         "reader", "writer"
     )
@@ -78,8 +78,8 @@ def in_flight(
     repeats of one id never pile up, and that shuffle also serves the anti join.
     """
     window = last_read.join(pointers.select("queue", "consumer", "ptr"), ["queue", "consumer"], "left")
-    window = cut(window.withColumn("ptr", F.coalesce("ptr", F.lit(0).cast("long"))))
-    given = attach(log, window, ["queue"], spread=["id"]).where(
+    window, size = kept(window.withColumn("ptr", F.coalesce("ptr", F.lit(0).cast("long"))))
+    given = attach(log, window, ["queue"], spread=["id"], size=size).where(
         (F.col("id") > F.col("ptr")) & (F.col("id") <= F.col("last_read"))
     )
     acked = acks.select("queue", "consumer", "id").distinct()
@@ -89,8 +89,8 @@ def in_flight(
 def confirmations(sent: DataFrame, acked: DataFrame) -> DataFrame:
     """Every sent row with ``confirmed``: true once the contiguous prefix of stored
     ids of its queue covers it."""
-    frontier = cut(ack_frontier(acked, ["queue"]))
-    joined = attach(sent, frontier, ["queue"], "left", spread=["id"])
+    frontier, size = kept(ack_frontier(acked, ["queue"]))
+    joined = attach(sent, frontier, ["queue"], "left", spread=["id"], size=size)
     covered = F.col("id") <= F.coalesce("frontier", F.lit(0))
     return joined.withColumn("confirmed", covered).drop("frontier")
 
@@ -100,8 +100,8 @@ def pending_requests(
 ) -> DataFrame:
     """The unanswered requests of the listed groups, all of them or the first ``limit`` by
     ``group_uuid, uuid``; replies carry both ids."""
-    listed = groups.select("group_uuid").distinct()
+    listed, size = kept(groups.select("group_uuid").distinct())
     answered = replies.select("uuid", "group_uuid").distinct()
-    waiting = attach(requests, cut(listed), ["group_uuid"], "left_semi", spread=["uuid"])
+    waiting = attach(requests, listed, ["group_uuid"], "left_semi", spread=["uuid"], size=size)
     open_ = waiting.join(answered, ["uuid", "group_uuid"], "left_anti")
     return open_ if limit is None else open_.orderBy("group_uuid", "uuid").limit(limit)

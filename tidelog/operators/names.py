@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.plans.joins import salted
+from tidelog.plans.joins import BROADCAST_BYTES, attach, kept
 
 
 def scope_chain(scope: Column) -> Column:
@@ -17,21 +17,24 @@ def scope_chain(scope: Column) -> Column:
     )
 
 
-def longest_prefix_join(refs: DataFrame, defs: DataFrame) -> DataFrame:
+def longest_prefix_join(refs: DataFrame, defs: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Each ``scope, name`` of ``refs`` with the ``def`` whose ``full_name`` it means:
     the one in the innermost enclosing scope, else in a parent, else at the root; null
-    where none is. Distinct pairs are resolved, then joined back with hot pairs split.
+    where none is. Distinct pairs are resolved, then joined back. Sides up to ``limit``
+    bytes are broadcast; beyond it a name or pair that many rows share is split.
     """
+    known, size = kept(defs.select("full_name", "def").groupBy("full_name").agg(F.min("def").alias("def")))
     pairs = refs.select("scope", "name").distinct()
+    if size > limit:  # the tries are read twice: for their hot names, and to be joined
+        pairs, _ = kept(pairs)
     tries = pairs.select("scope", "name", F.posexplode(scope_chain(F.col("scope"))).alias("up", "prefix"))
     tries = tries.withColumn("full_name", F.concat_ws(".", F.nullif("prefix", F.lit("")), "name"))
-    known = defs.select("full_name", "def").groupBy("full_name").agg(F.min("def").alias("def"))
-    resolved = (
-        salted(tries, known, ["full_name"], spread=["scope"])
+    resolved, found = kept(
+        attach(tries, known, ["full_name"], spread=["scope"], limit=limit, size=size)
         .groupBy("scope", "name")
         .agg(F.min_by("def", "up").alias("def"), F.min_by("full_name", "up").alias("full_name"))
     )
-    return salted(refs, resolved, ["scope", "name"], "left")
+    return attach(refs, resolved, ["scope", "name"], "left", limit=limit, size=found)
 
 
 def common_prefix(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.functions.typed_text import typed_columns
+from tidelog.functions.typed_text import instant_nanos, instant_of, nanos_between, typed_columns
 from tidelog.operators import names
 from tidelog.session import spread, work_path
 from tidelog.sources.documents import read_documents
@@ -98,6 +98,60 @@ def m6(spark, sf):
     )
 
 
+#: Times of orders to the nanosecond, some without a time of day.
+AT_NANOS = "o_orderkey * 7919 % 1000000000"
+
+
+def order_instants(spark, sf):
+    texts = spread(table(spark, sf, "orders")).select(
+        "o_orderkey",
+        "o_custkey",
+        F.expr(
+            f"""IF(o_custkey % 10 = 0, date_format(o_orderdate, 'yyyy-MM-dd'), date_format(o_orderdate, "yyyy-MM-dd'T'HH:mm:ss")
+            || '.' || lpad({AT_NANOS}, 9, '0') || IF(o_orderkey % 2 = 0, 'Z', '-05:00'))"""
+        ).alias("at"),
+    )
+    return typed_columns(texts, {"at": "instant"})
+
+
+@R.add(
+    "m6_instants",
+    f"""SELECT o_orderkey, CASE WHEN o_custkey % 10 <> 0 THEN CAST(epoch_us(o_orderdate) // 1000000 + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 18000 END AS BIGINT) END AS seconds,
+  CASE WHEN o_custkey % 10 <> 0 THEN CAST({AT_NANOS} AS BIGINT) END AS nanos,
+  CASE WHEN o_custkey % 10 <> 0 THEN CAST(CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE -18000 END AS BIGINT) END AS at_offset,
+  o_custkey % 10 = 0 AS at_error FROM orders""",
+)
+def m6_instants(spark, sf):
+    return order_instants(spark, sf).select(
+        "o_orderkey",
+        "at_instant.seconds",
+        F.col("at_instant.nanos").cast("long").alias("nanos"),
+        F.col("at_offset").cast("long").alias("at_offset"),
+        "at_error",
+    )
+
+
+@R.add(
+    "m6_instant_spans",
+    f"""WITH t AS (SELECT o_custkey, CAST(epoch_us(o_orderdate) // 1000000 + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 18000 END AS HUGEINT) * 1000000000 + {AT_NANOS} AS ns
+  FROM orders WHERE o_custkey % 10 <> 0)
+SELECT o_custkey, CAST((min(ns) - ((min(ns) % 1000000000) + 1000000000) % 1000000000) // 1000000000 AS BIGINT) AS first_second,
+  CAST(((min(ns) % 1000000000) + 1000000000) % 1000000000 AS BIGINT) AS first_nano, CAST(max(ns) - min(ns) AS BIGINT) AS span_ns, count(*) AS orders
+FROM t GROUP BY 1""",
+)
+def m6_spans(spark, sf):
+    found = order_instants(spark, sf).where("not at_error").withColumn("at_ns", instant_nanos(F.col("at_instant")))
+    ends = found.groupBy("o_custkey").agg(F.min("at_ns").alias("lo"), F.max("at_ns").alias("hi"), F.count("at_ns").alias("orders"))
+    ends = ends.select("o_custkey", instant_of(F.col("lo")).alias("first"), instant_of(F.col("hi")).alias("last"), "orders")
+    return ends.select(
+        "o_custkey",
+        F.col("first.seconds").alias("first_second"),
+        F.col("first.nanos").cast("long").alias("first_nano"),
+        nanos_between(F.col("first"), F.col("last")).alias("span_ns"),
+        "orders",
+    )
+
+
 TURNS_PER_DOC = 8
 DOC = T.StructType(
     [
