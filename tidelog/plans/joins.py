@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.session import work_path
+from tidelog.session import cut
 
 #: Largest side that is broadcast, in measured bytes.
 BROADCAST_BYTES = 64 << 20
@@ -38,14 +38,13 @@ def row_bytes(df: DataFrame) -> Column:
 
 
 def kept(df: DataFrame, of: Column | None = None) -> tuple[DataFrame, int]:
-    """The rows as a table in the shared folder, and their size (or that of the rows where
-    ``of`` holds), which is observed while they are written: ``df`` is computed once. (A
-    task that is repeated may count twice, which can only make the size too large.)"""
+    """The rows cut from their lineage, and their size (or that of the rows where ``of``
+    holds), which is observed while they are stored: ``df`` is computed once. (A task that
+    is repeated may count twice, which can only make the size too large.)"""
     seen = Observation()
-    path = work_path(df.sparkSession, "side")
     size = row_bytes(df) if of is None else F.when(of, row_bytes(df))
-    df.observe(seen, F.coalesce(F.sum(size), F.lit(0)).alias("n")).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+    rows = cut(df.observe(seen, F.coalesce(F.sum(size), F.lit(0)).alias("n")))
+    return rows, seen.get["n"]
 
 
 def measured_bytes(df: DataFrame) -> int:
