@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidelog.llm.context_tree import Folded
+from tidelog.llm.context_tree import WAITING, Folded
 from tidelog.llm.run_index import build
 
 
@@ -49,7 +49,7 @@ def test_folded_sums():
     for n in [0, 5, 300, 1, 40, 1000, 2, 0, 700]:
         keys, sums = rng.permutation(1500)[:n].astype(np.int64), rng.integers(0, 9, n)
         folded.add(keys, sums)
-        assert folded.waiting <= len(folded.keys)
+        assert folded.waiting <= WAITING * len(folded.keys)
         for k, v in zip(keys.tolist(), sums.tolist(), strict=True):
             want[k] = want.get(k, 0) + v
     keys, sums = folded.fold()

@@ -43,8 +43,8 @@ from tidelog.session import ship, work_path
 
 DEPTH = 5
 LEAST_BLOCKS = 12
-#: Text of one block, about, in bytes: a task holds its distinct n-grams, not the text.
-BLOCK_BYTES = 16 << 20
+#: Keys that wait to be folded, for each one that is.
+WAITING = 4
 END = 0xFF
 #: Bytes whose n-grams are looked at together.
 STEP = 1 << 20
@@ -90,8 +90,8 @@ def counted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Folded:
-    """Distinct keys and their sums, folded together whenever what came since has grown as
-    large as what is folded, so that at most about twice the distinct keys are held."""
+    """Distinct keys and their sums, folded together whenever what came since has grown to
+    ``WAITING`` times what is folded: memory follows the distinct keys, not the text."""
 
     def __init__(self) -> None:
         self.keys, self.sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -101,7 +101,7 @@ class Folded:
     def add(self, keys: np.ndarray, sums: np.ndarray) -> None:
         self.later.append((keys, sums))
         self.waiting += len(keys)
-        if self.waiting > len(self.keys):
+        if self.waiting > WAITING * len(self.keys):
             self.fold()
 
     def fold(self) -> tuple[np.ndarray, np.ndarray]:
@@ -355,7 +355,7 @@ def score_texts(
     every row: the context tree's log10 probability of the text, learned from the rows where
     ``training`` holds, beside that of single words with one added to each count."""
     ship(docs.sparkSession)
-    blocks = block_count(docs, text_col, least=LEAST_BLOCKS, block_bytes=BLOCK_BYTES)
+    blocks = block_count(docs, text_col, least=LEAST_BLOCKS)
     rows = docs.select(
         F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int").alias("block"),
         F.col(id_col).alias("id"),
