@@ -314,7 +314,7 @@ def test_descent_ends_by_its_own_rule(spark, monkeypatch):
 
     turns = []
 
-    def found(graph, nodes, blocks, degree, sample, turn):
+    def found(graph, vectors, degree, sample, turn):
         turns.append(turn)
         rows = [(a, (a + turn + 1) % 40, 2.0 + turn, 1) for a in range(40)] if turn < 9 else []
         return spark.createDataFrame(rows, nn_descent.LINKS)
@@ -322,7 +322,7 @@ def test_descent_ends_by_its_own_rule(spark, monkeypatch):
     monkeypatch.setattr(nn_descent, "local_joins", found)
     rng = np.random.default_rng(1)
     nodes = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(40)], "node long, vector array<double>")
-    nn_descent.neighbour_graph(nodes, degree=2)
+    nn_descent.neighbour_graph(nn_descent.packed(nodes, 4), degree=2)
     assert turns == list(range(10))
 
 
