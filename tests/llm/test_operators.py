@@ -335,6 +335,42 @@ def test_disguised_addresses_are_candidates():
     assert not candidates("that is flat data")
 
 
+def test_pii_finds_unseen_ways_of_writing(spark, small):
+    """Values in ways of writing that no fitted tree saw are found where they stand, and texts
+    without personal data stay as they are."""
+    import random
+
+    from tidelog.llm import pii
+
+    model = pii.fit_pii(small)
+    rows = [t for _, t in texts(small)]
+    rng = random.Random(99)
+    found, total = Counter(), Counter()
+    for i in range(600):
+        kind = pii.KINDS[i % len(pii.KINDS)]
+        text, (_, start, end) = pii.planted(rng, rng.choice(rows), kind, True)
+        base, every = model.spans(text)
+        total[kind] += 1
+        found[kind] += any(
+            k == kind and abs(e - end) <= 1 and (abs(s - start) <= 1 or (kind == "secret" and s >= start)) for k, s, e in every
+        )
+        assert set(base) <= set(every)
+    assert all(found[kind] >= 0.9 * total[kind] for kind in pii.KINDS), (found, total)
+    clean = [t for t in rows if not pii.base_spans(t) and not pii.NAMED.search(t) and not pii.KEY.search(t)]
+    assert len(clean) > 50
+    assert all(model.spans(t)[1] == [] for t in clean)
+    numbers = ["1. one 2. two 3. three", "see 2024-10-11 12:30:05", "version 10.2.1", "pages 100-200, 300-400", "3,141,592 of 10,000,000"]
+    assert all(model.spans(t)[1] == [] for t in numbers)
+
+
+def test_pii_counts_all_spans(spark, small):
+    from tidelog.llm.pii import fit_pii, pii_spans
+
+    df = spark.createDataFrame([(1, "a@b.org and 10.0.0.1"), (2, None), (3, ""), (3, "")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_spans"], r["spans"]) for r in pii_spans(df, fit_pii(small)).collect())
+    assert got == [(1, 2, "email:0:7,ip:12:20"), (2, 0, ""), (3, 0, ""), (3, 0, "")]
+
+
 def test_pii_sample_is_not_filled_by_copies(spark):
     from tidelog.llm.pii import fit_pii
 
