@@ -4,8 +4,10 @@ Two documents link when the overlap of their shingle sets reaches ``percent`` of
 so a set of ``n`` shingles needs an overlap of at least ``percent * n / 100``. That bound is
 used before any pair exists: shingles that stand in one set only can be part of no overlap,
 and a set with too few others can link with nothing. The incidence is dealt by shingle in
-packed arrays, unique shingles are dropped, sets below their bound are dropped, equal sets
-become one, and the same step runs again over what is left. Then each set keeps, in order of
+packed arrays that name a set by its pack, the texts read in one step, and its place there;
+a directory of the pack travels along. Unique shingles are dropped, the others return to their
+packs as packed numbers, sets below their bound are dropped, equal sets become one, and the
+same step runs again over what is left. Then each set keeps, in order of
 document frequency, the shingles of which two linked sets must share one (the prefix that the
 bound leaves); shared prefix shingles make candidate clusters, clusters are cut into cells by
 size (linked sets are in the same or in neighbouring cells), cells into blocks, and each pair
@@ -24,6 +26,7 @@ are sets of their own, and rows without an id take part like others.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -46,6 +49,8 @@ RANGE_BYTES = 8 << 20
 LEAST_RANGES = 64
 #: Text whose shingles a task makes at once, about, in bytes; they take some 20 times that.
 STEP_BYTES = 4 << 20
+#: Shingles of sets that make one pack, about.
+STEP_TOKENS = 1 << 20
 #: Sets of one block, about.
 BLOCK_SETS = 384
 #: Shingles whose overlaps are counted at once.
@@ -117,32 +122,24 @@ def set_directory(docs: DataFrame, words: int, id_col: str, text_col: str) -> Da
     return picked.mapInArrow(run, "doc long, id long, n long, k1 long, k2 long")
 
 
-PACKED = "range int, docs binary, sizes binary, hashes binary, rows binary"
+PACKED = "range int, pack long, docs binary, sizes binary, hashes binary, rows binary"
 
 
 def packed(docs: np.ndarray, sizes: np.ndarray, row: np.ndarray, value: np.ndarray, bits: int) -> pa.RecordBatch:
-    """The incidence in hash order, cut into ranges of hashes, a few arrays for each."""
+    """The incidence of one pack in hash order, cut into ranges of hashes, two arrays for each;
+    and the directory of the pack, in any of the ranges. Packs of one name hold the same."""
+    docs, sizes = docs.astype(np.int64), sizes.astype(np.uint32)
+    pack_id = int.from_bytes(hashlib.blake2b(docs.tobytes(), digest_size=8).digest(), "little", signed=True)
+    out: list[list] = [[pack_id % 2**bits], [pack_id], [docs.tobytes()], [sizes.tobytes()], [None], [None]]
     cuts = np.searchsorted(value >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64))
-    out: list[list] = [[], [], [], [], []]
     for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-        if a == b:
-            continue
-        local, at = np.unique(row[a:b], return_inverse=True)
-        for into, x in zip(
-            out,
-            (
-                i,
-                docs[local].astype(np.int64).tobytes(),
-                sizes[local].astype(np.uint32).tobytes(),
-                pack_sorted(value[a:b]),
-                pack(at.astype(np.uint32)),
-            ),
-            strict=True,
-        ):
-            into.append(x)
-    kinds = [pa.int32(), *[pa.binary()] * 4]
+        if a < b:
+            parts = i, pack_id, None, None, pack_sorted(value[a:b]), pack(row[a:b].astype(np.uint32))
+            for into, x in zip(out, parts, strict=True):
+                into.append(x)
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["range", "docs", "sizes", "hashes", "rows"]
+        [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["range", "pack", "docs", "sizes", "hashes", "rows"]
     )
 
 
@@ -162,77 +159,104 @@ def text_incidence(docs: DataFrame, words: int, bits: int, id_col: str, text_col
 def set_incidence(sets: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = batch.column(2)
-            value = tokens.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            row = np.repeat(np.arange(len(batch)), pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
-            order = np.argsort(value, kind="stable")
-            ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            yield packed(ids, sizes, row[order], value[order], bits)
+            length = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            step = np.cumsum(length) // STEP_TOKENS
+            cuts = [0, *(np.flatnonzero(step[1:] != step[:-1]) + 1).tolist(), len(batch)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(a, b - a)
+                value = part.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                row = np.repeat(np.arange(b - a), length[a:b])
+                order = np.argsort(value, kind="stable")
+                yield packed(part.column(0).to_numpy(), part.column(1).to_numpy(), row[order], value[order], bits)
 
     return sets.select("doc", "n", "tokens").mapInArrow(run, PACKED)
 
 
 def shared_sets(incidence: DataFrame, bits: int, percent: int) -> DataFrame:
     """``doc, n, tokens, dfs`` of the sets that have enough shingles which other rows have
-    too; the tokens are numbers of those shingles, in order of their document frequency."""
+    too; the tokens are numbers of those shingles, in order of their document frequency. A key
+    that stands in several packs has a row for each of them."""
+    names = ["pack", "docs", "sizes", "range", "tokens", "rows", "dfs"]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+    def listed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_range: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        by_range: dict[int, list[tuple]] = {}
         for batch in batches:
-            for key, docs, sizes, hashes, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                value = unpack_sorted(hashes)
-                at = unpack(rows, np.uint32)
-                own = np.frombuffer(docs, np.int64)[at], np.frombuffer(sizes, np.uint32)[at], value
-                by_range.setdefault(key, []).append(own)
+            directories = []
+            for key, pack_id, docs, sizes, hashes, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if docs is not None:
+                    directories.append((pack_id, docs, sizes, None, None, None, None))
+                else:
+                    by_range.setdefault(key, []).append((pack_id, hashes, rows))
+            yield listed(directories)
         for key, parts in by_range.items():
-            doc, n, value = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((doc, value))
-            doc, n, value = doc[order], n[order], value[order]
+            values = [unpack_sorted(hashes) for _, hashes, _ in parts]
+            source = np.repeat(np.arange(len(parts), dtype=np.int32), [len(v) for v in values])
+            row = np.concatenate([unpack(rows, np.uint32) for _, _, rows in parts])
+            value = np.concatenate(values)
+            del values
+            order = np.argsort(value, kind="stable")
+            source, row, value = source[order], row[order], value[order]
             starts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
             times = np.diff(np.append(starts, len(value)))
-            df = np.repeat(times, times)
+            df = np.repeat(times, times).astype(np.uint32)
             # A range is whole here: its shared shingles are numbered, which takes fewer bytes
-            # than their hashes do. The upper bits still name the range.
-            value = np.repeat((np.cumsum(times > 1) - 1).astype(np.uint64), times)
-            value |= np.uint64(key) << np.uint64(64 - bits)
-            keep = df > 1
-            for a in range(0, int(keep.sum()), 200_000):
-                at = np.flatnonzero(keep)[a : a + 200_000]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(doc[at]),
-                        pa.array(n[at], pa.int64()),
-                        pa.array(value[at].view(np.int64)),
-                        pa.array(df[at], pa.int32()),
-                    ],
-                    ["doc", "n", "token", "df"],
-                )
+            # than their hashes do.
+            number = np.repeat((np.cumsum(times > 1) - 1).astype(np.uint64), times)
+            keep = np.flatnonzero(df > 1)
+            keep = keep[np.argsort(source[keep], kind="stable")]
+            cuts = np.searchsorted(source[keep], np.arange(len(parts) + 1)).tolist()
+            out = []
+            for (pack_id, _, _), a, b in zip(parts, cuts[:-1], cuts[1:], strict=True):
+                own = keep[a:b]
+                if len(own):
+                    out.append((pack_id, None, None, key, pack_sorted(number[own]), pack(row[own]), pack(df[own])))
+                if len(out) == 1000:
+                    yield listed(out)
+                    out = []
+            yield listed(out)
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches_by(batches, "doc"):
-            n = table.column("n")[0].as_py()
-            if len(table) < need(n, percent):
-                continue
-            token = table.column("token").to_numpy()
-            df = table.column("df").to_numpy()
-            token, first = np.unique(token, return_index=True)  # repeated rows
-            if len(token) < need(n, percent):
+        for table in batches_by(batches, "pack"):
+            _, docs, sizes, ranges_, tokens, rows, dfs = (c.to_pylist() for c in table.columns)
+            doc, n = next(
+                (np.frombuffer(d, np.int64), np.frombuffer(s, np.uint32).astype(np.int64))
+                for d, s in zip(docs, sizes, strict=True)
+                if d is not None
+            )
+            at = [i for i, x in enumerate(rows) if x is not None]
+            if not at:
                 continue
-            df = df[first]
-            order = np.lexsort((token, df))
+            # The upper bits of a token name its range.
+            token = np.concatenate([unpack_sorted(tokens[i]) | np.uint64(ranges_[i]) << np.uint64(64 - bits) for i in at])
+            token = token.view(np.int64)
+            row = np.concatenate([unpack(rows[i], np.uint32) for i in at]).astype(np.int64)
+            df = np.concatenate([unpack(dfs[i], np.uint32) for i in at])
+            order = np.lexsort((token, df, row))
+            token, row, df = token[order], row[order], df[order]
+            fresh = np.ones(len(row), bool)  # packs of one name repeat each other
+            fresh[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
+            number = np.bincount(row[fresh], minlength=len(doc))
+            chosen = number >= np.maximum(1, need(n, percent))
+            fresh &= chosen[row]
+            offsets = pa.array(offsets_of(number[chosen]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    table.column("doc").chunk(0).slice(0, 1),
-                    pa.array([n], pa.int64()),
-                    pa.array([token[order]], pa.list_(pa.int64())),
-                    pa.array([df[order]], pa.list_(pa.int32())),
+                    pa.array(doc[chosen]),
+                    pa.array(n[chosen]),
+                    pa.ListArray.from_arrays(offsets, pa.array(token[fresh])),
+                    pa.ListArray.from_arrays(offsets, pa.array(df[fresh].astype(np.int32))),
                 ],
                 ["doc", "n", "tokens", "dfs"],
             )
 
-    rows = incidence.repartition(2**bits, "range").mapInArrow(shared, "doc long, n long, token long, df int")
-    by_doc = rows.repartition("doc").sortWithinPartitions("doc")
-    return by_doc.mapInArrow(gathered, "doc long, n long, tokens array<long>, dfs array<int>")
+    columns = "pack long, docs binary, sizes binary, range int, tokens binary, rows binary, dfs binary"
+    rows = incidence.repartition(2**bits, "range").mapInArrow(shared, columns)
+    by_pack = rows.repartition("pack").sortWithinPartitions("pack")
+    return by_pack.mapInArrow(gathered, "doc long, n long, tokens array<long>, dfs array<int>")
 
 
 def product_links(
@@ -340,7 +364,9 @@ def ngram_links(docs: DataFrame, directory: DataFrame, words: int, percent: int,
     bits = max(LEAST_RANGES, -(-size // RANGE_BYTES)).bit_length()
     first = shared_sets(text_incidence(docs, words, bits, id_col, text_col), bits, percent)
     one_each = directory.where("doc = rep").select("doc")
-    sets = cut(first.join(one_each, "doc", "left_semi").select("doc", "n", "tokens"))
+    # Rows of one key may stand in several packs; their sets are equal.
+    first = first.join(one_each, "doc", "left_semi").select("doc", "n", "tokens").dropDuplicates(["doc"])
+    sets = cut(first)
     del first
     release(docs.sparkSession)
     sets = cut(shared_sets(set_incidence(sets, bits), bits, percent))
