@@ -1,5 +1,6 @@
 """The stages of the corpus pipeline. Each takes a table like ``documents`` (more columns are
-kept, null texts count as empty) and applies the decisions of one operator to it."""
+kept, null texts count as empty) and applies the decisions of one operator to it. The stages share
+executors, whose memory a stage does not give back, so all of them bound their Arrow batches."""
 
 from __future__ import annotations
 
@@ -7,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.queries import WORD_BPE, table, tokenizer_path
-from tidelog.session import cut
+from tidelog.session import bounded_batches, cut
 
 
 def with_text(docs: DataFrame, text) -> DataFrame:
@@ -28,6 +29,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops the documents whose restored text scores as toxic."""
     from tidelog.llm.toxicity import LEARNED, fit_toxicity, toxicity_score
 
+    bounded_batches(spark)
     labels = table(spark, sf_dir, "labels")
     model = fit_toxicity(table(spark, sf_dir, "documents"), labels, LEARNED)
     return docs.where(toxicity_score(spark, model)("text") < 0.5)
@@ -40,6 +42,7 @@ def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     of one id and one text are."""
     from tidelog.llm.ngram_join import ngram_groups, row_key
 
+    bounded_batches(spark)
     groups = ngram_groups(docs.select("doc_id", "text"), words=5, percent=80)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc")).alias("first")
     kept = groups.groupBy("component").agg(first).select(F.col("first.doc").alias("_key"))
@@ -56,6 +59,7 @@ def suffix_array_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     loses a byte goes with it."""
     from tidelog.llm.suffix_dedup import repeated_spans, without_spans
 
+    bounded_batches(spark)
     spans = cut(repeated_spans(docs.select("doc_id", "text")))
     left = without_spans(nested(docs), spans)
     rows = left.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
@@ -66,6 +70,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts a mark such as ``<EMAIL>`` in the place of every selected span."""
     from tidelog.llm.pii import fit_pii, redacted
 
+    bounded_batches(spark)
     return with_text(docs, redacted(spark, fit_pii(docs))("text"))
 
 
@@ -73,4 +78,5 @@ def best_fit_packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Packs every document into sequences of at most 2048 tokens."""
     from tidelog.llm.packing import best_fit_packing, token_pieces
 
+    bounded_batches(spark)
     return best_fit_packing(token_pieces(docs, tokenizer_path(WORD_BPE)))

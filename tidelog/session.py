@@ -62,3 +62,11 @@ def ship(spark: SparkSession) -> None:
             for source in sorted(PACKAGE.rglob("*.py")):
                 out.write(source, source.relative_to(PACKAGE.parent))
         sc.addPyFile(str(archive))
+
+
+def bounded_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """Arrow batches of about ``most_bytes`` at most from now on in this session. Batches of
+    10,000 rows of text take tens of MB, several times over in each task's JVM and worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(most_bytes)).rstrip("bB")) >= most_bytes:
+        spark.conf.set(name, str(most_bytes))
