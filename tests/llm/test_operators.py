@@ -490,3 +490,58 @@ def test_stages_keep_columns_of_any_name(spark):
         assert {r["doc_id"] for r in kept} == ids and len(kept) == len(ids)
         for r in kept:
             assert [r[n] for n in names] == [f"{n}-{r['doc_id']}" for n in names] and r["tags"] == {"k": "v"}
+
+
+def test_pii_learns_from_every_distinct_text(spark, small):
+    """What the trees are fitted on is counted over all texts, copies once."""
+    import inspect
+
+    from tidelog.llm import pii
+
+    assert inspect.signature(pii.fit_pii).parameters["sample_docs"].default is None
+    assert inspect.signature(pii.fit_pii).parameters["sample_rows"].default is None
+    rows = small.select("text").limit(40)
+    every = rows.union(rows).repartition(3)
+    want = Counter()
+    for text in {r["text"] or "" for r in rows.collect()}:
+        want[text] = {side: len(pii.labelled(text, bool(side))) for side in (0, 1)}
+    got = pii.counted(pii.coded(every, "text")).collect()
+    total = sum(r["n"] for r in got)
+    assert sum(min(w.values()) for w in want.values()) <= total <= sum(max(w.values()) for w in want.values())
+    assert {len(r["code"]) for r in got} == {pii.N_FEATURES + 2} and len(pii.EDGES) == pii.N_FEATURES
+
+
+def test_addresses_are_what_the_rules_match():
+    import random
+
+    from tidelog.llm import pii
+
+    rng = random.Random(5)
+    parts = ["a", "bob", "x.y", "@", " at ", "(at)", "[ at ]", "{at}", " ", ".", " dot ", "(dot)", "-", "\n", "at", " AT ", "com", "a" * 70]
+    for _ in range(5000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 14)))
+        want = {("email", m.start(), m.end()) for rule in (pii.MORE["email"], pii.STRICT) for m in rule.finditer(text)}
+        assert {s for s in pii.candidates(text) if s[0] == "email"} == want
+
+
+def test_packs_name_a_row_once(spark, small):
+    """The key of a row travels once, not with every range of hashes."""
+    from tidelog.llm.ngram_join import text_incidence
+
+    docs = small.limit(200)
+    rows = text_incidence(docs, 4, 7, "doc_id", "text").collect()
+    assert sum(len(r["docs"] or b"") for r in rows) == 8 * docs.count()
+    assert len({r["range"] for r in rows if r["rows"]}) == 128
+
+
+def test_stages_bound_their_batches(spark):
+    from tidelog.llm.stages import suffix_array_stage
+
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat(cast(id as string), 20000) as text").coalesce(1)
+    suffix_array_stage(spark, docs.limit(1), SF)
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.select([]).from_pydict({"n": [batch.nbytes]})
+
+    assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) < 8 << 20
